@@ -3,7 +3,7 @@
 Nodes form trees (``tree``, ``node``, ``parent``). Pointer doubling, a self-join on
 (tree, node) that squares the distance covered each round, sums the scores from
 every node to its root; leaves are ranked by that sum; the chosen leaves' paths are
-enumerated by the same jumps and each is written as one conversation.
+enumerated by the same jumps (the binary digits of the distance say which) and each is written as one conversation.
 
 Defined results: a null role or text is empty; a null tree is a tree of its own; a
 parent that is missing makes its child a root; nodes on a cycle have no root and
@@ -90,12 +90,12 @@ def best_paths(nodes: DataFrame, top_k: int | None = None, max_depth: int = 1 <<
         leaf = leaf.withColumn("rank", F.lit(None).cast("int"))
     else:
         leaf = leaf.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= top_k)
-    path = leaf.select("tree", F.col("node").alias("leaf"), "rank", "score", "node", (F.col("length") - 1).alias("pos"))
+    path = leaf.select("tree", F.col("node").alias("leaf"), "rank", "score", "node", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("up_by"), "length")
     for k, jump in enumerate(jumps[:-1]):
-        j = jump.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        further = path.join(j, _same(path.tree, j.t, path.node, j.n)).select("tree", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
-        path = path.unionByName(further)
-    return path
+        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        far = F.col("up_by").bitwiseAND(1 << k) > 0
+        path = path.join(j, _same(path.tree, j.t, path.node, j.n)).select("tree", "leaf", "rank", "score", F.when(far, F.col("up")).otherwise(F.col("node")).alias("node"), "up_by", "length")
+    return path.select("tree", "leaf", "rank", "score", "node", (F.col("length") - 1 - F.col("up_by")).alias("pos"))
 
 
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
