@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, sharding
+from . import chat_format, sharding, token_count
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_token_count": token_count.op3_token_count,
     "op6_sharding": sharding.op6_sharding,
 }
 SQL = {"op1_chat_format": chat_format.OP1_SQL}
