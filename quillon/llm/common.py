@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: The white space of the word rule `[^\x20\x09-\x0D]+`, as a Java pattern.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -53,6 +55,8 @@ def binaries(column: pa.Array) -> list[bytes | None]:
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``step`` to each Arrow batch; narrow, so a lost task is simply run again."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
