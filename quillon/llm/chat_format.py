@@ -63,45 +63,51 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def _same(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return a.eqNullSafe(b) & (c == d)
+def _key() -> Column:
+    """A tree's key for joins, never null."""
+    return F.when(F.col("tree").isNull(), "").otherwise(F.concat(F.lit("="), F.col("tree").cast("string"))).alias("k")
 
 
-def best_paths(nodes: DataFrame, top_k: int | None = None, max_depth: int = 1 << 20) -> DataFrame:
+def best_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
     """(tree, leaf, rank, score, node, pos): a row for each node of each chosen path, pos 0 at the root.
 
     ``nodes`` has tree, node (unique in its tree), parent (null: a root) and score.
     """
-    n = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = n.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    has = n.join(known, _same(n.tree, known.t, n.parent, known.p), "left")
-    level = cut(has.select("tree", "node", F.col("p").alias("up"), F.lit(1).alias("length"), "score"))
-    leaves = level.join(level.select(F.col("tree").alias("t"), F.col("up").alias("u")), _same(F.col("tree"), F.col("t"), F.col("node"), F.col("u")), "left_anti").select("tree", "node")
-    jumps, reach = [level], 1
-    while reach < max_depth and jumps[-1].where(F.col("up").isNotNull()).limit(1).count():
-        a = jumps[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("length").alias("l2"), F.col("score").alias("s2"))
-        a = a.join(b, _same(a.tree, b.t, a.up, b.n), "left")
-        jumps.append(cut(a.select("tree", "node", F.col("up2").alias("up"), (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))))
-        reach *= 2
-    done = jumps[-1].where(F.col("up").isNull())
-    leaf = leaves.alias("a").join(done.alias("b"), _same(F.col("a.tree"), F.col("b.tree"), F.col("a.node"), F.col("b.node"))).select("a.tree", "a.node", "b.length", "b.score")
+    n = nodes.select(_key(), "tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    known = n.select("k", F.col("node").alias("parent"), F.col("node").alias("up"))
+    level = n.join(known, ["k", "parent"], "left").select("k", "tree", "node", "up", F.lit(1).alias("length"), "score")
+    level = cut(level)
+    leaves = level.select("k", "node").join(level.select("k", F.col("up").alias("node")), ["k", "node"], "left_anti")
+    jumps, most = [], level.count()
+    active, ended = level.where(F.col("up").isNotNull()), level.where(F.col("up").isNull())
+    while 1 << len(jumps) < 2 * most and active.limit(1).count():  # a longer way is a cycle
+        jumps.append(active)
+        b = active.unionByName(ended).select("k", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("length").alias("l2"), F.col("score").alias("s2"))
+        level = active.join(b, ["k", "up"]).select("k", "tree", "node", F.col("up2").alias("up"), (F.col("length") + F.col("l2")).alias("length"), (F.col("score") + F.col("s2")).alias("score"))
+        level = cut(level)
+        active, ended = level.where(F.col("up").isNotNull()), ended.unionByName(level.where(F.col("up").isNull()))
+    leaf = ended.join(leaves, ["k", "node"])
     if top_k is None:
         leaf = leaf.withColumn("rank", F.lit(None).cast("int"))
     else:
-        leaf = leaf.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= top_k)
-    path = leaf.select("tree", F.col("node").alias("leaf"), "rank", "score", "node", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("up_by"), "length")
-    for k, jump in enumerate(jumps[:-1]):
-        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        far = F.col("up_by").bitwiseAND(1 << k) > 0
-        path = path.join(j, _same(path.tree, j.t, path.node, j.n)).select("tree", "leaf", "rank", "score", F.when(far, F.col("up")).otherwise(F.col("node")).alias("node"), "up_by", "length")
+        leaf = leaf.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= top_k)
+    path = cut(leaf.select("k", "tree", F.col("node").alias("leaf"), "rank", "score", "node", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("up_by"), "length"))
+    there = []
+    for digit, jump in enumerate(jumps):  # a row moves by one binary digit of its distance at a time, and is done when no digit is left
+        there.append(path.where(F.col("up_by") < 1 << digit))
+        path = path.where(F.col("up_by") >= 1 << digit)
+        far = F.col("up_by").bitwiseAND(1 << digit) > 0
+        path = path.join(jump.select("k", "node", "up"), ["k", "node"], "left").select("k", "tree", "leaf", "rank", "score", F.when(far, F.col("up")).otherwise(F.col("node")).alias("node"), "up_by", "length")
+        path = cut(path)
+    for done in there:
+        path = path.unionByName(done)
     return path.select("tree", "leaf", "rank", "score", "node", (F.col("length") - 1 - F.col("up_by")).alias("pos"))
 
 
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     """One row per path: tree, leaf, formatted, loss_spans (start and end, in code points)."""
-    t = turns.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = paths.join(t, _same(paths.tree, t.t, paths.node, t.n))
+    t = turns.select(_key(), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = paths.withColumn("k", _key()).join(t, ["k", "node"])
     whole = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
