@@ -11,56 +11,45 @@ are in no path; an empty table gives no rows. Equal scores rank by node.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles
 every ``<``, run of backslashes, ``|`` gets one backslash more, so no control string
-can occur inside; a newline or backslash in a role is backslash-escaped first.
+can occur inside; ``%`` and newlines in a role are written ``%25`` and ``%0A``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import cut, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+_TURN = r"(?s)<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n"
 
 
-def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+def escape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+def unescape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+def escape_role(role: Column) -> Column:
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+def unescape_role(role: Column) -> Column:
+    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The conversation's text and the spans of it on which loss is taken."""
-    out, spans, at = [], [], 0
-    for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
-        at += len(head)
-        if role == "assistant":
-            spans.append((at, at + len(body)))
-        out += [head, body, END, "\n"]
-        at += len(body) + len(END) + 1
-    return "".join(out), spans
+def parsed(formatted: Column) -> tuple[Column, Column]:
+    """The roles and the texts back from a formatted conversation."""
+    part = lambda k: F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(k))
+    return F.transform(part(1), unescape_role), F.transform(part(2), unescape)
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns back from ``render``'s text."""
-    return [(unescape_role(role), unescape(text)) for role, text in _TURN.findall(formatted)]
+def under_loss(formatted: Column, spans: Column) -> Column:
+    """All text on which loss is taken, unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
 
 
 def _key() -> Column:
@@ -107,16 +96,17 @@ def best_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     """One row per path: tree, leaf, formatted, loss_spans (start and end, in code points)."""
     t = turns.select(_key(), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.select("k", "node", (F.col("role") == "assistant").alias("loss"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
     rows = paths.withColumn("k", _key()).join(t, ["k", "node"])
-    whole = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [render([(x["role"], x["text"]) for x in turns]) for turns in batch.column("turns").to_pylist()]
-        spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), pa.array([x for x, _ in made], pa.string()), spans], ["tree", "leaf", "formatted", "loss_spans"])
-
-    kinds = dict(whole.dtypes)
-    return arrow_map(whole, step, f"tree {kinds['tree']}, leaf {kinds['leaf']}, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
+    whole = F.length("head") + F.length("body") + len(END) + 1
+    before = F.sum(whole).over(Window.partitionBy("k", "leaf").orderBy("pos")) - whole + F.length("head")
+    rows = rows.withColumn("start", before.cast("int"))
+    made = rows.groupBy("k", "leaf").agg(
+        F.first("tree").alias("tree"),
+        F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "body", F.lit(END + "\n")).alias("turn")))).alias("turns"),
+        F.array_sort(F.collect_list(F.when(F.col("loss"), F.struct("start", (F.col("start") + F.length("body")).alias("end"))))).alias("loss_spans"),
+    )
+    return made.select("tree", "leaf", F.array_join("turns.turn", "").alias("formatted"), "loss_spans")
 
 
 def as_tree(conversations: DataFrame) -> DataFrame:
@@ -132,18 +122,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     nodes = cut(as_tree(conversations.unionByName(extra)))
     done = format_paths(best_paths(nodes), nodes)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for formatted, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
-            turns = parse(formatted)
-            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            loss = "".join(unescape(formatted[s["start"] : s["end"]]) for s in spans)
-            out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("tree"), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return arrow_map(done, step, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    roles, texts = parsed(F.col("formatted"))
+    read = done.select("tree", "formatted", roles.alias("roles"), texts.alias("texts"), under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.zip_with("roles", "texts", lambda role, text: F.concat(role, F.lit("\n"), text, F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("roles").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
 
 
 OP1_SQL = r"""
@@ -153,7 +142,7 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), e AS (
   SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
-    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM c
+    regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
