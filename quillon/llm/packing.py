@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import arrow_map, table
+from .common import arrow_map, cut, table
 
 
 @lru_cache(2)
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, carry:
                 totals.append(len(x))
         return pa.RecordBatch.from_arrays([owners, pa.array(np.concatenate(keys)), pa.array(totals, pa.int64()), pa.array(whole, pa.list_(pa.binary() if as_ids else pa.int64())), pa.array(at, pa.int32()), pa.array(rest, pa.binary())], ["id", "key", "tokens", "whole", "n_rest", "rest"])
 
-    left = arrow_map(rows, cut_up, f"id {kind.simpleString()}, key bigint, tokens bigint, whole array<{'binary' if as_ids else 'bigint'}>, n_rest int, rest binary")
+    left = cut(arrow_map(rows, cut_up, f"id {kind.simpleString()}, key bigint, tokens bigint, whole array<{'binary' if as_ids else 'bigint'}>, n_rest int, rest binary"))  # the range partitioning reads it twice
     ranged = left.repartitionByRange("key", F.xxhash64("id")).sortWithinPartitions("key", "id")
     ranged = ranged.select(F.spark_partition_id().alias("part"), "*")
     out = StructType([StructField(id_col, kind)] + [StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), (carry, T.BinaryType() if as_ids else T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))])
