@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, sharding, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, packing, quality_rules, sharding, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_count": token_count.op3_token_count,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_sharding": sharding.op6_sharding,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
