@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_rules, sharding, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, jaccard_join, packing, quality_rules, sharding, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_sharding": sharding.op6_sharding,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
