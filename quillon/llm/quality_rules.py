@@ -34,13 +34,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _windows(words: Column) -> Column:
-    """A hash for each run of eight words: pairs, then pairs of pairs, then pairs of those."""
+def _windows(hashes: Column) -> Column:
+    """A hash for each run of eight words, from theirs: pairs, then pairs of pairs, then pairs of those."""
 
     def paired(hashes: Column, step: int) -> Column:
         return _let(hashes, lambda h: F.when(F.size(h) > step, F.zip_with(F.slice(h, 1, F.size(h) - step), F.slice(h, 1 + step, F.size(h) - step), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>")))
 
-    return paired(paired(paired(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
+    return paired(paired(paired(hashes, 1), 2), 4)
 
 
 def _repeated(windows: Column) -> Column:
@@ -67,12 +67,9 @@ FEATURES = {
     "word_length": "word_chars / greatest(n_words, 1)",
     "symbol_rate": "n_symbols / greatest(n_chars, 1)",
     "upper_rate": "n_upper / greatest(n_chars, 1)",
-    "digit_rate": "n_digits / greatest(n_chars, 1)",
-    "mark_rate": "n_marks / greatest(n_chars, 1)",
     "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
     "distinct_rate": "n_distinct / greatest(n_words, 1)",
-    "stutter_rate": "n_stutter / greatest(n_words, 1)",
 }
 
 
@@ -81,22 +78,19 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    body = lambda w, ls: F.struct(
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    body = lambda w, h, ls: F.struct(
         F.size(w).cast("bigint").alias("n_words"),
-        (F.length(text) - without(" \t\n\x0b\x0c\r")).cast("bigint").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         without(SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
-        _repeated(_windows(w)).cast("bigint").alias("n_repeat_words"),
+        _repeated(_windows(h)).cast("bigint").alias("n_repeat_words"),
         F.length(text).cast("bigint").alias("n_chars"),
         F.size(ls).cast("bigint").alias("n_lines"),
-        F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
+        F.size(F.array_distinct(h)).cast("bigint").alias("n_distinct"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_upper"),
-        without("0123456789").cast("bigint").alias("n_digits"),
-        without("!?").cast("bigint").alias("n_marks"),
-        F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("bigint").alias("n_stutter"),
     )
-    return docs.withColumn("stats", _let(words, lambda w: _let(lines, lambda ls: body(w, ls))))
+    return docs.withColumn("stats", _let(words, lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(lines, lambda ls: body(w, h, ls)))))
 
 
 def base_failed(stats: str = "stats") -> Column:
@@ -104,7 +98,7 @@ def base_failed(stats: str = "stats") -> Column:
 
 
 def measured(stats: str = "stats") -> dict[str, Column]:
-    names = ("n_words", "word_chars", "n_symbols", "n_chars", "n_upper", "n_digits", "n_marks", "n_dup_lines", "n_lines", "n_repeat_words", "n_distinct", "n_stutter")
+    names = ("n_words", "word_chars", "n_symbols", "n_chars", "n_upper", "n_dup_lines", "n_lines", "n_repeat_words", "n_distinct")
     out = {}
     for name, sql in FEATURES.items():
         for n in names:
@@ -225,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) ->
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < (1 << 20) * max_rows // n)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).where(~base_failed())
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # else the filter below goes before the join
+    rows = statistics(sample).where(~base_failed())
     rows = rows.select(*[c.alias(f) for f, c in measured().items()], (1 - F.col("quality")).cast("bigint").alias("reject"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).alias("prune"))
     return learn(cut(rows), **how)
 
