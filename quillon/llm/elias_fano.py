@@ -37,15 +37,17 @@ class EliasFano:
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.low, self.lows, self.highs, self.ones, self.zeros = n, low, lows, highs, ones, zeros
         self.highs_off = None
+        self.eights = np.ndarray(max(len(lows) - 7, 0), "<u8", lows, strides=(1,))
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(values)
-        low = max(0, (universe // max(n, 1)).bit_length() - 1)
-        low = min(low, 56)
-        size = -(-low // 8)  # whole bytes for the low bits keep access a plain gather
-        low = size * 8
-        lows = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)[:, :size].copy().ravel() if n else np.empty(0, np.uint8)
+        low = min(max(0, (universe // max(n, 1)).bit_length() - 1), 56)
+        lows = []
+        for k in range(0, n, 1 << 16):
+            bits = (values[k : k + (1 << 16), None] >> np.arange(low, dtype=np.uint64)).astype(np.uint8) & np.uint8(1)
+            lows.append(np.packbits(bits.ravel(), bitorder="little"))
+        lows = np.concatenate([*lows, np.zeros(8, np.uint8)])  # room to read eight bytes anywhere
         high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         bits = int((universe >> low) + n + 1)
         flags = np.zeros(-(-bits // 64) * 64, np.uint8)
@@ -56,10 +58,8 @@ class EliasFano:
         return n, low, lows, highs, ones.astype(np.int64), zeros.astype(np.int64)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        out, size = np.zeros(len(i), np.uint64), self.low // 8
-        for k in range(size):
-            out |= self.lows[i * size + k].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        bit = i * self.low
+        return (self.eights[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
