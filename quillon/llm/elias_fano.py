@@ -72,21 +72,20 @@ class EliasFano:
         low = values & np.uint64((1 << self.low) - 1)
         if self.highs_off is None:
             self.highs_off = ~np.asarray(self.highs)
-        first = np.where(high > 0, _select(self.highs_off, self.zeros, np.maximum(high - 1, 0)) + 1 - high, 0)
-        at = first
-        open_ = np.arange(len(values))
-        equal = np.zeros(len(values), bool)
-        spot = first + high  # bit of the element at ``first`` in the bucket of ``high``
-        at = at.copy()
+        # the bucket of equal upper bits lies between two zeros; its lower bits are in order
+        at = np.where(high > 0, _select(self.highs_off, self.zeros, np.maximum(high - 1, 0)) + 1 - high, 0)
+        end = _select(self.highs_off, self.zeros, high) - high
+        to = end.copy()
+        open_ = np.flatnonzero(at < to)
         while len(open_):
-            here, bit = at[open_], spot[open_]
-            inside = (here < self.n) & ((self.highs[np.minimum(bit >> 3, len(self.highs) - 1)] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-            open_ = open_[inside]
-            mine = self._lows(at[open_])
-            equal[open_[mine == low[open_]]] = True
-            open_ = open_[mine < low[open_]]
-            at[open_] += 1
-            spot[open_] += 1
+            a, b = at[open_], to[open_]
+            mid = (a + b) >> 1
+            less = self._lows(mid) < low[open_]
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            at[open_], to[open_] = a, b
+            open_ = open_[a < b]
+        equal = at < end
+        equal[equal] = self._lows(at[equal]) == low[equal]
         return at, equal
 
 
@@ -113,14 +112,13 @@ class Trie:
     """Contexts, and for each a range of successors with a quantised value.
 
     Level 1 holds the contexts' sorted keys and the pointers to their ranges, level 2 the
-    successors, made monotone by adding the context's base (its rank times ``span``); a search
-    in a context's range is a search for base + successor. All three are Elias-Fano
+    successors, which are given with their context's base (its rank times ``span``) added, so that
+    they are monotone; a search in a context's range is a search for base + successor. All three are Elias-Fano
     sequences in memory-mapped files.
     """
 
     def __init__(self, contexts: np.ndarray, counts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, codes: np.ndarray, weights: np.ndarray, span: int):
-        base = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers)) * np.uint64(span)
-        parts = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(pointers.astype(np.uint64), int(pointers[-1]) + 1), EliasFano.encode(base + successors, max(1, len(contexts) * span))]
+        parts = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(pointers.astype(np.uint64), int(pointers[-1]) + 1), EliasFano.encode(successors, max(1, len(contexts) * span))]
         levels = Levels([x for p in parts for x in p[2:]] + [counts.astype(np.int64), codes, weights]).arrays
         self.contexts, self.pointers, self.successors = (EliasFano(p[0], p[1], *levels[4 * k : 4 * k + 4]) for k, p in enumerate(parts))
         self.counts, self.codes, self.weights = levels[12:]
@@ -130,11 +128,11 @@ class Trie:
         """Rank of each context, and whether it is there."""
         return self.contexts.find(keys)
 
-    def code(self, rank: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Quantised values of successors in their contexts; 0 where there is none."""
-        at, found = self.successors.find(rank.astype(np.uint64) * np.uint64(self.span) + successors)
+    def code(self, rank: np.ndarray, per: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Quantised values of successors, ``per`` of them for each context; 0 where there is none."""
+        at, found = self.successors.find(np.repeat(rank.astype(np.uint64) * np.uint64(self.span), per) + successors)
         a, b = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
-        found &= (at >= a) & (at < b)
+        found &= (at >= np.repeat(a, per)) & (at < np.repeat(b, per))
         out = np.zeros(len(at), np.uint8)
         out[found] = self.codes[at[found]]
         return out

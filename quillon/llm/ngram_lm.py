@@ -161,26 +161,28 @@ class Block:
 
 def build_trie(requests: Iterable[bytes], k: float) -> Trie:
     """The trie of all training counts in a shard's requests."""
-    keys, counts, owners, successors, times = [], [], [], [], []
+    keys, counts, pers, successors, times = [], [], [], [], []
     for data in requests:
         key, count, per, five, time = _load(data)
         keys.append(key)
         counts.append(count)
-        seen = time > 0
-        owners.append(np.repeat(key, per)[seen])
-        successors.append(_wide(five)[seen])
-        times.append(time[seen])
+        pers.append(per)
+        successors.append(_wide(five))
+        times.append(time)
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-    owner, successor, time = np.searchsorted(key, np.concatenate(owners)), np.concatenate(successors), np.concatenate(times)
-    order = np.lexsort((successor, owner))
-    owner, successor, time = owner[order], successor[order], time[order]
-    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (successor[1:] != successor[:-1]))) if len(owner) else np.empty(0, np.int64)
+    time = np.concatenate(times)
+    seen = time > 0
+    placed = (np.repeat(at.astype(np.uint64), np.concatenate(pers)) << np.uint64(40) | np.concatenate(successors))[seen]
+    order = np.argsort(placed)
+    placed, time = placed[order], time[seen][order]
+    new = np.flatnonzero(np.append(True, placed[1:] != placed[:-1])) if len(placed) else np.empty(0, np.int64)
     summed = np.add.reduceat(time.astype(np.int64), new) if len(new) else np.empty(0, np.int64)
-    owner, successor = owner[new], successor[new]
+    placed = placed[new]
+    owner = (placed >> np.uint64(40)).astype(np.int64)
     pointers = np.searchsorted(owner, np.arange(len(key) + 1))
     distinct = k * np.diff(pointers)
-    return Trie(key, count, pointers, successor, quantised(summed / count[owner]), quantised(distinct / np.maximum(count + distinct, 1e-9)), SPAN)
+    return Trie(key, count, pointers, placed, quantised(summed / count[owner]), quantised(distinct / np.maximum(count + distinct, 1e-9)), SPAN)
 
 
 def _wide(five: np.ndarray) -> np.ndarray:
@@ -193,7 +195,7 @@ def answer(trie: Trie, request: bytes) -> bytes:
     """Counts and weights of the contexts asked for, and the codes of their successors."""
     key, _, per, five, _ = _load(request)
     rank, _ = trie.context(key)
-    return _dump(np.asarray(trie.counts[rank]).astype(np.uint32), np.asarray(trie.weights[rank]), trie.code(np.repeat(rank, per), _wide(five)))
+    return _dump(np.asarray(trie.counts[rank]).astype(np.uint32), np.asarray(trie.weights[rank]), trie.code(rank, per, _wide(five)))
 
 
 def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
