@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import binaries, cut, fold, parts, table, words_of
+from .common import binaries, cut, fold, parts, table, tidy, words_of
 from .elias_fano import Trie
 
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
@@ -235,7 +235,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
                 number += 1
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, "block bigint, tokens bigint, train_tokens bigint, docs bigint, frequent array<struct<word:bigint,n:bigint>>, data binary")
+    return docs.mapInArrow(tidy(run), "block bigint, tokens bigint, train_tokens bigint, docs bigint, frequent array<struct<word:bigint,n:bigint>>, data binary")
 
 
 def _unpacked(data: bytes) -> pa.RecordBatch:
@@ -307,8 +307,8 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
         if shard is not None:
             yield from close()
 
-    asked = blocks.select("block", "data").mapInArrow(ask, "block bigint, shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    answers = cut(asked.mapInArrow(serve, _ANSWER))
+    asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    answers = cut(asked.mapInArrow(tidy(serve), _ANSWER))
     distinct = int(answers.where("kind = 1").agg(F.sum("words")).first()[0] or 0)
     summed = {r["block"]: r["n"] for r in answers.where("kind = 2").groupBy("block").agg(F.sum("words").alias("n")).collect()}
     after = np.array([summed.get(int(h), 0) for h in hot.astype(np.int64)], float)
@@ -338,7 +338,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
             yield from close()
 
     whole = blocks.select(F.lit(0).alias("kind"), "block", F.lit(-1).alias("shard"), "data").unionByName(answers.where("kind = 1").select("kind", "block", "shard", "data"))
-    return whole.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(finish, out)
+    return whole.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(tidy(finish), out)
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,15 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, cut, table, tidy
 
 
 @lru_cache(2)
 def encoder(path: str):
     """texts -> lists of ids, as the ``tokenizers`` library gives them. For a byte-level BPE file whose ids follow its merges the same ids come from ``tiktoken``, which is about four times as fast."""
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, pre, special = spec["model"], spec.get("pre_tokenizer") or {}, {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -45,6 +42,9 @@ def encoder(path: str):
     by_id = sorted((k, t) for t, k in model["vocab"].items() if t not in special) if plain else []
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]] if plain else []
     if not plain or [t for _, t in by_id[256:]] != merged or [k for k, _ in by_id] != list(range(len(by_id))):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
         return lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
     import tiktoken
 
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, carry:
                 columns = list(zip(*pieces, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), *(pa.array(c, pa.binary() if as_ids and k == 2 else pa.int64()) for k, c in enumerate(columns[1:]))], [f.name for f in out])
 
-    return ranged.mapInArrow(along, out)
+    return ranged.mapInArrow(tidy(along), out)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
