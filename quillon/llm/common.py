@@ -62,6 +62,12 @@ def _trim():
         return lambda _: 0
 
 
+def release() -> None:
+    """Give this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after which the Python worker gives its free memory back; workers outlive their tasks."""
 
@@ -69,8 +75,7 @@ def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            _trim()(0)
+            release()
 
     return wrapped
 

@@ -164,6 +164,8 @@ def learn(rows: DataFrame, bins: int = 24, max_rules: int = 8, max_conditions: i
     thresholds = _thresholds(rows.where(F.col("reject") == 1), bins)
     for f, more in _thresholds(rows, bins).items():
         thresholds[f] = sorted({*thresholds[f], *more})
+    if not any(thresholds.values()):
+        return []
     left = rows
 
     def score(data: DataFrame, rule: Rule) -> list[tuple[int, int]]:

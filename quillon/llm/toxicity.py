@@ -3,8 +3,8 @@
 Confirmed toxic texts are the positives; all other texts count as unlabelled. A linear
 model over hashed words is trained with numpy on the risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` of the sigmoid loss; where the bracket
-goes negative, the step goes against it instead (so the model does not fit unlabelled
-texts as negatives beyond what the class prior allows).
+goes negative it counts as 0 and has no gradient, so the model does not fit unlabelled texts
+as negatives beyond what the class prior allows.
 
 The class prior is the toxic share among labelled training rows. Training takes at most
 about ``max_positive`` and ``max_unlabelled`` texts, chosen by hash (documented bounds),
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binaries, fold, table, words_of
+from .common import arrow_map, binaries, fold, release, table, words_of
 
 EDGES = b".,;:!?|*$%&#\"'()[]<>"
 
@@ -108,7 +108,7 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         if bracket >= 0:
             gp, gu = -2 * prior * slope_p / n, slope_u / many
         else:
-            gp, gu = prior * slope_p / n, -slope_u / many
+            gp, gu = -prior * slope_p / n, np.zeros(many)
         g = np.append(np.bincount(fp, gp[op], width) + np.bincount(fu, gu[ou], width) + decay * w, gp.sum() + gu.sum())
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
@@ -140,11 +140,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ma
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen = _bounded(known.where(F.col("toxic") == 1), max_positive, 1).select("doc_id")
     confirmed = _texts(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    others = [hashed(x) for x in _texts(_bounded(docs, max_unlabelled, 2))]
-    kept, weights, bias = fit_pu([hashed(x) for x in confirmed], others, toxic / n if n else 0.0, **how)
+    positive = [hashed(x) for x in confirmed]
+    seen, times = np.unique(np.concatenate([*positive, np.empty(0, np.uint32)]), return_counts=True)
+    seen = seen[times > 1]  # no other feature can be selected, so texts keep only these
+
+    def few(x: np.ndarray) -> np.ndarray:
+        return x[seen[np.minimum(np.searchsorted(seen, x), len(seen) - 1)] == x] if len(seen) else x[:0]
+
+    others = [few(hashed(x)) for x in _texts(_bounded(docs, max_unlabelled, 2))]
+    kept, weights, bias = fit_pu([few(x) for x in positive], others, toxic / n if n else 0.0, **how)
     value, named = dict(zip(kept.tolist(), weights.tolist(), strict=True)), {}
     for text in confirmed:
         named |= {x: value[h] for x in features(text) if (h := zlib.crc32(x)) in value}
+    release()
     return PuModel(*({x[1:]: w for x, w in named.items() if x[:1] == kind} for kind in (b"=", b"4", b"6")), bias)
 
 
