@@ -11,9 +11,10 @@ shingles under a third before its sets are compared in full.
 Equal sets are one class from the start and are compared once. A shingle's list of up to
 ``small`` classes gives all its pairs. In a longer one every class is first compared with
 the list's most central classes (those with the shingle nearest the front), in its part of the list and in the whole; after these
-links only classes that are still in different components are compared, all of them, in
-tiles of bounded size. So no link between components is lost and a group of near copies
-costs about one comparison a member. Lists of very common shingles are salted.
+links the classes of the list that are still in different components are compared, all of them, in
+tiles of bounded size, so that the components are exact. Last, within each component all
+classes of long lists are intersected with each other, again in tiles, by matrix products of their shingles;
+so every link is found, whatever the length of a list. Lists of very common shingles are salted.
 
 Defined results: a text with fewer than ``width`` words is one shingle of all its words; a null
 text, or one without words, has an empty set and is its own component; repeated rows
@@ -241,9 +242,10 @@ def _meet(postings: DataFrame, t: Threshold, small: int) -> DataFrame:
             if last:
                 yield from lists(*(x[:last] for x in new))
             held = [x[last:] for x in new]
-            if len(held[0]) > 200_000:  # a very long list goes on with its first two rows
+            if len(held[0]) > 200_000:  # a very long list goes on with its first two rows, as one whose members are kept
                 yield from lists(*held)
-                held = [x[:2] for x in held]
+                key, spot, who, shingle, often = (x[:2] for x in held)
+                held = [key, spot, who, np.where(often, shingle, key), np.ones_like(often)]
         if held is not None and len(held[0]):
             yield from lists(*held)
 
@@ -326,11 +328,11 @@ def _likely(survey: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
     return arrow_map(_both(pairs, sets, "second"), compare, _PAIR)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """The pairs that hold, by full sets; these are made again from one document of each class in question. A bitmap of fixed size lets the others pass by."""
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(set, n, members) of the classes in ``wanted``, made again from one document of each. A bitmap of fixed size lets the others pass by."""
     bit = F.pmod("rep", F.lit(1 << FILTER_BITS))
     words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    marked = classes.join(_ends(pairs), ["set", "n"], "left_semi").select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(rep, {1 << FILTER_BITS}) & 31 AS INT))").alias("bits"))
+    marked = classes.join(wanted, ["set", "n"], "left_semi").select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(rep, {1 << FILTER_BITS}) & 31 AS INT))").alias("bits"))
     for r in marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
         if r["word"] is not None:
             words[r["word"]] = r["bits"]
@@ -351,8 +353,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshol
         who, n = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64()), pa.array(list(out.values()), pa.binary())], ["set", "n", "members"])
 
-    sets = arrow_map(docs, step, "set bigint, n bigint, members binary").join(_ends(pairs), ["set", "n"], "left_semi")
-    sets = cut(sets.groupBy("set", "n").agg(F.first("members").alias("members")))
+    sets = arrow_map(docs, step, "set bigint, n bigint, members binary").join(wanted, ["set", "n"], "left_semi")
+    return cut(sets.groupBy("set", "n").agg(F.first("members").alias("members")))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """The pairs that hold, by full sets."""
+    sets = _sets(docs, _ends(pairs), classes, width)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         read = lambda k: [np.frombuffer(v, np.uint64) for v in batch.column(k).to_pylist()]
@@ -362,10 +369,76 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshol
     return arrow_map(_both(pairs, sets, "members"), compare, _PAIR)
 
 
-def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small: int = 12, common: int = 24, most_common: int = 1 << 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links_found (the found links of its class).
+def _crowds(members: DataFrame, links: DataFrame, classes: DataFrame, label: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """(set, n, label, blocks) of the classes of long lists in components where not every pair of them is a known link."""
+    listed = cut(members.select("set", "n").distinct().join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node")).select("set", "n", "label"))
+    one = links.join(listed.select(F.col("set").alias("a"), F.col("n").alias("na"), "label"), ["a", "na"])
+    known = one.join(listed.select(F.col("set").alias("b"), F.col("n").alias("nb")), ["b", "nb"]).groupBy("label").agg(F.count("*").alias("known"))
+    crowds = listed.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).join(known, "label", "left").where("rows * (rows - 1) / 2 > coalesce(known, 0)")
+    return listed.join(crowds.select("label", F.ceil(F.greatest(F.col("rows") / rows, F.col("size") / shingles)).cast("int").alias("blocks")), "label")
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    sizes = np.array(list(map(len, sets)))
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(value)
+    owner = owner[by]
+    start = np.append(True, value[by][1:] != value[by][:-1])
+    place = np.cumsum(start) - 1
+    often = np.bincount(place) > 1  # a shingle of one set is in no intersection
+    keep = often[place]
+    owner, place = owner[keep], (np.cumsum(often) - 1)[place[keep]]
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64
+    out = np.zeros((len(left), len(right)), kind)
+    for c in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(place, [c, c + width])
+        has = np.zeros((len(sets), min(width, int(often.sum()) - c)), kind)
+        has[owner[a:b], place[a:b] - c] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _within(docs: DataFrame, crowds: DataFrame, classes: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """All links between the classes of each label in ``crowds``, by full sets, in tiles."""
+    rows = crowds.join(_sets(docs, crowds.select("set", "n"), classes, width), ["set", "n"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set", "n"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "members")
+    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    ship(docs.sparkSession)
+
+    def group(x: list) -> pa.RecordBatch:
+        _, i, j, block, who, n, members = x
+        left, right = (np.flatnonzero(block == k[0]) for k in (i, j))
+        ok = common_counts([np.frombuffer(v, np.uint64) for v in members], left, right) >= t.overlap(n[left][:, None], n[right])
+        a, b = np.nonzero(np.triu(ok, 1) if i[0] == j[0] else ok)
+        a, b = left[a], right[b]
+        swap = (who[b] < who[a]) | ((who[b] == who[a]) & (n[b] < n[a]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (who[a], n[a], who[b], n[b])], ["a", "na", "b", "nb"])
 
-    Links that were found connect every component; between classes already connected not every link is looked for.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            if not len(new[0]):
+                continue
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            starts = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in new[:3]], axis=0)))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield group([x[a:b] for x in new])
+            held = [x[starts[-1] :].copy() for x in new]
+        if held is not None:
+            yield group(held)
+
+    return rows.mapInArrow(tidy(run), _PAIR)
+
+
+def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small: int = 12, common: int = 24, most_common: int = 1 << 17, tile: tuple[int, int] = (1024, 1 << 18), count: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links_found (all links of its class).
+
+    ``tile``: classes and shingles of a block within a component. Without ``count`` there is no n_links_found, and links within a component are not looked for.
     """
     t = Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -380,17 +453,23 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small:
     classes = members.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep"))
     links = cut(_verified(docs, cut(_likely(survey, tried, t)), classes, t, width))
     label = _labels(links, classes)
-    known = members_of.join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node"), "left").select("shingle", "set", "n", "p", F.coalesce("label", "rep").alias("label"))
+    known = members_of.join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node"), "left").select("shingle", "set", "n", "p", F.coalesce("label", "rep", F.xxhash64("set", "n")).alias("label"))
     more = cut(_across(known, t).select("a", "na", "b", "nb").distinct().join(tried, ["a", "na", "b", "nb"], "left_anti"))
     more = cut(_likely(survey, more, t))
     if more.limit(1).count():
         links = cut(links.unionByName(_verified(docs, more, classes, t, width)))
         label = _labels(links, classes)
-    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).groupBy("e.set", "e.n").agg(F.count("*").alias("n_links_found"))
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("label", "rep").alias("component"))
-    named = named.join(degree, ["set", "n"], "left")
-    out = members.join(named, ["set", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links_found", F.lit(0)).cast("bigint").alias("n_links_found"))
+    out = members.select("doc_id", "set", "n", F.col("n").alias("n_shingles"))
+    component = F.coalesce("component", "doc_id").alias("component_id")
+    if not count:
+        return out.join(named, ["set", "n"], "left").select("doc_id", "n_shingles", component)
+    crowds = cut(_crowds(members_of, links, classes, label, *tile))
+    if crowds.limit(1).count():
+        links = cut(links.unionByName(_within(docs, crowds, classes, t, width)).distinct())
+    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).groupBy("e.set", "e.n").agg(F.count("*").alias("n_links_found"))
+    out = out.join(named.join(degree, ["set", "n"], "left"), ["set", "n"], "left")
+    return out.select("doc_id", "n_shingles", component, F.coalesce("n_links_found", F.lit(0)).cast("bigint").alias("n_links_found"))
 
 
 def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -405,6 +484,6 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest doc_id stays (rows without doc_id all stay)."""
-    keep = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = join(docs, count=False).where("doc_id = component_id").select("doc_id").distinct()
     some = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id IS NULL"))

@@ -251,6 +251,23 @@ def test_jaccard_on_crowded_groups(spark):
         assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
 
+def test_jaccard_finds_every_link(spark):
+    rng = np.random.default_rng(6)
+    docs = []
+    for k in range(120):
+        w = [f"w{j}" for j in range(80)]
+        for at in rng.integers(0, 80, rng.integers(0, 4)):
+            w[at] = f"n{k}_{at}"
+        docs.append((k if k % 10 else None, " ".join(w)))
+    docs += [(1000 + k, docs[k][1]) for k in range(5)] + [(2000 + k, " ".join(f"z{j}" for j in range(k, k + 40))) for k in range(8)]
+    classes = {text: frozenset(jaccard_join.shingles(text.encode()).tolist()) for _, text in docs}
+    links = {x: sum(len(a & b) * 100 >= 80 * len(a | b) for b in set(classes.values()) if b != a) for x, a in classes.items()}
+    want = collections.Counter((i, links[text]) for i, text in docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for options in ({}, {"small": 2, "common": 10**9}, {"small": 500, "common": 10**9}, {"tile": (16, 1 << 18)}, {"tile": (1024, 700)}):
+        assert collections.Counter((r.doc_id, r.n_links_found) for r in jaccard_join.join(df, **options).collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components.components(links).collect()}
