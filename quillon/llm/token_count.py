@@ -75,9 +75,17 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return nxt, out
 
 
-@lru_cache(1)
+_CLASSES: dict[str, np.ndarray] = {}
+
+
 def char_classes() -> np.ndarray:
     """The class of each code point, by the library's own notion of letters, numbers and white space."""
+    if "table" not in _CLASSES:
+        _CLASSES["table"] = _char_classes()
+    return _CLASSES["table"]
+
+
+def _char_classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
@@ -210,6 +218,8 @@ class Machine:
         raise ValueError("the vocabulary lacks a byte")
 
     def _long(self, word: bytes) -> int:
+        if len(word) > 8 * self.longest and word == word[:1] * len(word):
+            return self._same(word)
         last, total = [-1], [0]
         for j in range(1, len(word) + 1):
             token, size = self._last(word, j, last.__getitem__)
@@ -217,6 +227,19 @@ class Machine:
             total.append(total[j - size] + 1)
         return total[-1]
 
+    def _same(self, word: bytes) -> int:
+        """A word of one byte over and over: each step hangs on the last tokens of the ``longest`` steps before alone, so once these come again the rest repeats."""
+        last, total, seen = [-1], [0], {}
+        for j in range(1, len(word) + 1):
+            token, size = self._last(word, j, last.__getitem__)
+            last.append(token)
+            total.append(total[j - size] + 1)
+            window = tuple(last[-self.longest :])
+            if j > 2 * self.longest and (before := seen.setdefault(window, j)) < j:
+                turns, rest = divmod(len(word) - j, j - before)
+                return total[before + rest] + (turns + 1) * (total[j] - total[before])
+        return total[-1]
+
     def count(self, word: bytes) -> int:
         if len(word) > 64:
             return self._long(word)
@@ -243,43 +266,30 @@ class Counter:
     def __init__(self, path: str, batch_chars: int = 1 << 21, max_words: int = 600_000):
         self.machine, self.batch_chars, self.max_words = Machine(path), batch_chars, max_words
         self.special = re.compile("|".join(map(re.escape, sorted(self.machine.special, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[int, int] = {}
-        n = batch_chars + 2
-        self.power, self.inverse = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        with np.errstate(over="ignore"):
-            base = 0x9E3779B97F4A7C15
-            self.power[:] = base
-            self.inverse[:] = pow(base, -1, 1 << 64)
-            self.power[0] = self.inverse[0] = 1
-            np.multiply.accumulate(self.power, out=self.power)
-            np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.known: dict[bytes, int] = {}
 
     def _words(self, text: str, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the words in ``text`` and each one's count; the characters at ``stops`` only part it."""
+        """Starts of the words in ``text`` and each one's count; the characters at ``stops`` only part it. Equal words are found by their bytes."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         classes = char_classes()[points]
         classes[stops] = STOP
         starts = word_starts(classes)
-        with np.errstate(over="ignore"):
-            mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(29)
-            sums = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum(mixed * self.power[: len(points)], out=sums[1:])
-            ends = np.append(starts[1:], len(points))
-            hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
-        values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts, known = np.empty(len(values), np.int64), self.known
+        at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF), out=at[1:])
+        spots = np.append(at[starts], at[-1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(spots), pa.py_buffer(text.encode())]).dictionary_encode()
+        known = self.known
         if len(known) > self.max_words:
             known.clear()
-        for k, h in enumerate(values.tolist()):
-            c = known.get(h)
+        counts = np.empty(len(words.dictionary), np.int64)
+        for k, word in enumerate(words.dictionary.to_pylist()):
+            c = known.get(word)
             if c is None:
-                a = first[k]
-                c = known[h] = self.machine.count(text[starts[a] : ends[a]].encode())
+                c = self.machine.count(word)
+                if len(word) <= 256:  # so that what is known stays small
+                    known[word] = c
             counts[k] = c
-        counts = counts[inverse]
+        counts = counts[words.indices.to_numpy()]
         counts[np.isin(starts, stops, assume_unique=True)] = 0
         return starts, counts
 
@@ -348,7 +358,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """id, n_bytes, n_tokens. ``path``: the tokenizer file, at the same place on every machine."""
     rows = docs.select(docs[f"`{id_col}`"], F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("t"))
 
+    kinds = char_classes()  # made once, for all workers
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _CLASSES.setdefault("table", kinds)
         texts = batch.column(1).to_pylist()
         sizes = [len(x.encode()) for x in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counter(path)(texts))], [id_col, "n_bytes", "n_tokens"])
