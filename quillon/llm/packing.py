@@ -33,7 +33,7 @@ from .common import arrow_map, cut, table, tidy
 
 @lru_cache(2)
 def encoder(path: str):
-    """texts -> lists of ids, as the ``tokenizers`` library gives them. For a byte-level BPE file whose ids follow its merges the same ids come from ``tiktoken``, which is about four times as fast."""
+    """texts -> lists of ids, as the ``tokenizers`` library gives them. For a byte-level BPE file whose ids follow its merges the same ids come from ``tiktoken``, which is about four times as fast; a text that it can't split goes to the library."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, pre, special = spec["model"], spec.get("pre_tokenizer") or {}, {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -52,7 +52,19 @@ def encoder(path: str):
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in t): k for k, t in by_id}, special_tokens=special)
-    return lambda texts: [fast.encode(x, allowed_special="all") for x in texts]
+    rest: list = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:  # its splitter gives up on very long runs of white space
+            if not rest:
+                from tokenizers import Tokenizer
+
+                rest.append(Tokenizer.from_file(path))
+            return rest[0].encode(text, add_special_tokens=False).ids
+
+    return lambda texts: [encode(x) for x in texts]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
