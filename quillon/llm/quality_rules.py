@@ -73,8 +73,8 @@ FEATURES = {
 }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the statistics of ``text`` in a struct ``stats``."""
+def statistics(docs: DataFrame, out: str = "stats") -> DataFrame:
+    """``docs`` with the statistics of ``text`` in a struct ``out``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
@@ -90,7 +90,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct(h)).cast("bigint").alias("n_distinct"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_upper"),
     )
-    return docs.withColumn("stats", _let(words, lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(lines, lambda ls: body(w, h, ls)))))
+    return docs.withColumn(out, _let(words, lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(lines, lambda ls: body(w, h, ls)))))
 
 
 def base_failed(stats: str = "stats") -> Column:
@@ -227,11 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) ->
     return learn(cut(rows), **how)
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``stats``, ``base_failed``, ``kept`` and ``rule`` (the rule that rejects)."""
-    keep, which = verdict(rules, measured())
-    out = statistics(docs).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & keep).withColumn("rule", F.when(~F.col("base_failed"), which))
+def judged(docs: DataFrame, rules: list[Rule], prefix: str = "") -> DataFrame:
+    """``docs`` with ``stats``, ``base_failed``, ``kept`` and ``rule`` (the rule that rejects), each name after ``prefix``."""
+    stats, failed, kept, rule = (prefix + x for x in ("stats", "base_failed", "kept", "rule"))
+    keep, which = verdict(rules, measured(stats))
+    out = statistics(docs, out=stats).withColumn(failed, base_failed(stats))
+    return out.withColumn(kept, ~F.col(failed) & keep).withColumn(rule, F.when(~F.col(failed), which))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,5 +243,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the base rule or the list rejects go."""
-    return judged(docs, train(docs, table(spark, sf_dir, "labels"))).where("kept").select(*docs.columns)
+    """Pipeline stage: documents that the base rule or the list rejects go.
+
+    Rows are judged one by one by their text: null ids (which no label names), repeated ids and equal rows don't
+    matter, a text without words fails the base rule, and other columns pass through under whatever name.
+    """
+    return judged(docs, train(docs, table(spark, sf_dir, "labels")), "__quality_").where("__quality_kept").select(*docs.columns)
