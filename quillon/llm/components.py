@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..runtime import ship
+from .common import cut, tidy
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        if (low == high).all():
+            break
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def _shortened(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars; a partition is as large as its shuffle made it, and nodes keep their components."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 2
+        for batch in batches:
+            held = list(forest(*(np.concatenate([x, np.asarray(batch.column(k))]) for k, x in enumerate(held))))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["u", "v"])
+
+    return edges.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of a link; label is the smallest node reachable. ``links``: u, v (long).
 
-    Each round joins links with the least neighbour of one end, so no node's links meet in one task;
-    rounds are logarithmic in the size of a component.
+    In each round a partition's edges first become stars by themselves. Then links are joined with the least
+    neighbour of one end, so no node's links meet in one task. Rounds are logarithmic in the size of a component.
     """
-    edges = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = links.where("u != v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
     state = None
     while True:
+        edges = cut(_shortened(edges))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())

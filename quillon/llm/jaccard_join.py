@@ -40,6 +40,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 SALTS = 64
 FILTER_BITS = 23
+SURVEY_BYTES = 32 << 20
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -130,6 +131,8 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
             ["kind", "id", "hash", "n", "second"],
         )
 
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the planner knows it
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(size // SURVEY_BYTES, 1 << 20)))  # small files don't make small counts
     return arrow_map(docs, step, "kind int, id bigint, hash bigint, n bigint, second binary")
 
 
@@ -142,8 +145,19 @@ def _common(survey: DataFrame, least: int, most: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int64))], ["hash", "n"])
 
     counts = arrow_map(survey.where("kind = 1").select("n", "second"), step, "hash bigint, n bigint")
-    found = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).collect()
-    return np.array([r["hash"] for r in reversed(found)], np.int64).astype(np.uint64)
+    found = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most)
+    count, value = _packed(found.select("n", "hash"))
+    return value[np.lexsort((value, -count))][::-1].astype(np.uint64)
+
+
+def _packed(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of whole numbers for the driver, 16 bytes a row. ``pairs`` is small by its own bound."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.stack([np.asarray(batch.column(k)) for k in range(2)]).astype(np.int64).tobytes()], pa.binary())], ["data"])
+
+    found = [np.frombuffer(bytes(r["data"]), np.int64).reshape(2, -1) for r in arrow_map(pairs, step, "data binary").collect()]
+    return tuple(np.concatenate([*found, np.empty((2, 0), np.int64)], axis=1))
 
 
 class Order:
@@ -238,6 +252,8 @@ def _meet(postings: DataFrame, t: Threshold, small: int) -> DataFrame:
             new = [key, spot, who, batch.column(3).fill_null(0).to_numpy(zero_copy_only=False), often]
             if held is not None:
                 new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            fresh = np.append(True, (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1]) | (new[2][1:] != new[2][:-1]))[: len(new[0])]
+            new = [x[fresh] for x in new]  # a class comes once from each batch that has it
             last = int(np.searchsorted(new[0], new[0][-1], "left")) if len(new[0]) else 0
             if last:
                 yield from lists(*(x[:last] for x in new))
@@ -255,17 +271,27 @@ def _meet(postings: DataFrame, t: Threshold, small: int) -> DataFrame:
 def _centred(members: DataFrame, t: Threshold) -> DataFrame:
     """Each member of a long list with the list's most central class, over all salts."""
     centre = members.groupBy("shingle").agg(F.min(F.struct("p", "n", "set")).alias("c"))
-    both = members.join(centre, "shingle").where("set != c.set OR n != c.n")
+    both = _beside(members, centre).where("set != c.set OR n != c.n")
     fits = (t.den * F.least("n", "c.n") >= t.num * F.greatest("n", "c.n")) & (F.least(F.col("n") - F.col("p"), F.col("c.n") - F.col("c.p")) >= F.ceil(t.num * (F.col("n") + F.col("c.n")) / (t.num + t.den)))
     low, high = F.least(F.struct("set", "n"), F.struct("c.set", "c.n")), F.greatest(F.struct("set", "n"), F.struct("c.set", "c.n"))
     return both.where(fits).select(low.alias("x"), high.alias("y")).select(F.col("x.set").alias("a"), F.col("x.n").alias("na"), F.col("y.set").alias("b"), F.col("y.n").alias("nb"))
 
 
+def _beside(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """``members`` with the one row of their list in ``lists``: members are salted, and the lists' rows stand in for each salt."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("set", "n"), F.lit(SALTS)).cast("int"))
+    return salted.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["shingle", "salt"]).drop("salt")
+
+
 def _across(members: DataFrame, t: Threshold, tile: int = 2048) -> DataFrame:
     """All candidate pairs of different components within each list, in tiles. ``members``: shingle, set, n, p, label."""
-    lists = members.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low != high").select("shingle", F.ceil(F.col("rows") / tile).cast("int").alias("blocks"))
-    rows = members.join(lists, "shingle").withColumn("block", F.pmod(F.xxhash64("set", "n"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("shingle", "label").agg(F.count("*").alias("rows"))
+    lists = sizes.groupBy("shingle").agg(F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("rows")).where("rows > main.rows")
+    lists = lists.select("shingle", F.col("main.label").alias("main"), F.ceil((F.col("rows") - F.col("main.rows")) / tile).cast("int").alias("few"), F.ceil(F.col("main.rows") / tile).cast("int").alias("many"))
+    # a list's largest component is not compared with itself: its tiles only meet those of the others, which come first
+    rows, own = _beside(members, lists), F.col("label") == F.col("main")
+    rows = rows.withColumn("block", F.when(own, F.col("few") + F.pmod(F.xxhash64("n", "set"), F.col("many"))).otherwise(F.pmod(F.xxhash64("n", "set"), F.col("few"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
     rows = rows.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "p", "label")
     rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     ship(members.sparkSession)
@@ -333,9 +359,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) ->
     bit = F.pmod("rep", F.lit(1 << FILTER_BITS))
     words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     marked = classes.join(wanted, ["set", "n"], "left_semi").select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(rep, {1 << FILTER_BITS}) & 31 AS INT))").alias("bits"))
-    for r in marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        if r["word"] is not None:
-            words[r["word"]] = r["bits"]
+    at, bits = _packed(marked.where("word IS NOT NULL").groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    words[at] = bits
     everyone = classes.where("rep IS NULL").limit(1).count() > 0  # a class whose documents have no id
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -445,7 +470,7 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small:
     survey = cut(_surveyed(docs, width))
     members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("hash").alias("set"), "n")
     order = Order(_common(survey, common, most_common))
-    postings = _postings(docs, order, t, width).repartition("key").sortWithinPartitions("key", "spot")
+    postings = _postings(docs, order, t, width).repartition("key").sortWithinPartitions("key", "spot", "set")
     found = cut(_meet(postings, t, small))
     members_of = found.where(F.col("kind") == MEMBER).select("shingle", F.col("a").alias("set"), F.col("na").alias("n"), F.col("b").alias("p"))
     between = _centred(members_of, t)
@@ -483,7 +508,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays (rows without doc_id all stay)."""
-    keep = join(docs, count=False).where("doc_id = component_id").select("doc_id").distinct()
-    some = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL"))
+    """Pipeline stage: of each component the document with the smallest doc_id stays.
+
+    Rows without doc_id all stay. Rows of one doc_id count as one document, in the component of the first of their texts
+    (nulls first); of those that stay one remains, the first by text and then by its other columns as JSON. Other
+    columns pass through under whatever name.
+    """
+    found = join(docs, count=False).groupBy("doc_id").agg(F.min("component_id").alias("__first")).where("doc_id = __first").select("doc_id")
+    some = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = some.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text"), rest)).alias("__row")) if docs.columns else some
+    return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
