@@ -116,6 +116,9 @@ def test_tokenizer_fuzz_and_windows():
     want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
     assert token_count.Counter(BPE)(texts).tolist() == want
     assert token_count.Counter(BPE, batch_chars=40)(texts).tolist() == want
+    morse = lambda n, a, b: "".join((a, b)[bin(k).count("1") % 2] for k in range(n))  # noqa: E731  their polynomial hashes are equal whatever the base
+    hard = [morse(n, *x) for n in (1024, 2048) for y in (("a", "b"), ("e", "t"), ("x", "é"), ("in", "th")) for x in (y, y[::-1])] + [" " * 70_001, "\n" * 9_999, "=" * 5_000 + " =", "ab" * 3_000]
+    assert token_count.Counter(BPE)(hard).tolist() == [len(x.ids) for x in library.encode_batch(hard, add_special_tokens=False)]
     states = np.array([[1, 2, 0], [2, 2, 1], [0, 0, 0], [1, 0, 2]], np.uint8)
     scan = token_count.compose_scan(states)
     assert all(scan[3][s] == states[3][states[2][states[1][states[0][s]]]] for s in range(3))
@@ -128,12 +131,36 @@ def test_toxicity_learns_from_positives(spark, odd):
     noise = lambda: " ".join(map(str, rng.integers(0, 400, 60))).encode()
     toxic = [b"scum " + noise() if k % 2 else b"moron " + noise() for k in range(200)]
     rest = [noise() for _ in range(900)] + toxic[:100]
-    kept, weights, bias = toxicity.fit_pu([toxicity.hashed(x) for x in toxic[:100]], [toxicity.hashed(x) for x in rest], 0.1)
+    texts = [np.sort(toxicity.hashed(x)) for x in toxic[:100] + rest]
+    kept = np.unique(np.concatenate([toxicity.hashed(x) for x in (b"scum", b"moron")]))
+    of_kept = [np.searchsorted(kept, x[np.isin(x, kept)]) for x in texts]
+    weights, bias = toxicity.fit_pu(of_kept[:100], of_kept[100:], 0.1, len(kept))
     of = lambda *names: {x[1:]: dict(zip(kept.tolist(), weights, strict=True)).get(zlib.crc32(x), 0) for x in names}
     model = toxicity.PuModel(of(b"=scum", b"=moron"), of(b"4moro"), {}, bias)
     assert (model.score(toxic[100:]) > 0.5).mean() > 0.95 and (model.score([noise() for _ in range(200)]) > 0.5).mean() < 0.02
 
 
+def test_toxicity_against_brute_force(spark, sf):
+    """The same sample, features, choice and risk without Spark."""
+    docs = documents(spark, sf)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and fold(r.doc_id)}
+    made = [(i, {bytes(x) for x in toxicity.features((t or "").encode())}) for i, t in docs if fold(i)]
+    positive, rest = [x for i, x in made if labels.get(i) == 1], [x for _, x in made]
+    p, u = (collections.Counter(f for x in side for f in x) for side in (positive, rest))
+    a, b = len(positive), len(rest)
+    rate = lambda f: (p[f] + u[f] + 1) / (a + b + 2)
+    names = sorted((f for f in p if p[f] >= 2 and (p[f] / a - u[f] / b) / math.sqrt(rate(f) * (1 - rate(f)) * (1 / a + 1 / b)) >= 4), key=zlib.crc32)
+    place = {f: k for k, f in enumerate(names)}
+    sides = [[np.array(sorted(place[f] for f in x if f in place), int) for x in side] for side in (positive, rest)]
+    weights, bias = toxicity.fit_pu(*sides, sum(labels.values()) / len(labels), len(names))
+    want = {}
+    for i, t in docs:
+        x = toxicity.features((t or "").encode())
+        want[i] = 1 / (1 + math.exp(-(bias + sum(weights[place[f]] for f in x if f in place))))
+    got = rows(spark, 4, sf)
+    assert names and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
 @pytest.mark.parametrize("where", ["odd", "sf"])
 def test_language_model(spark, request, where):
     folder = request.getfixturevalue(where)
@@ -201,10 +228,83 @@ def test_decontamination_catches_reordered_passages(spark, odd):
     assert {(r.doc_id, r.item_id) for r in rows(spark, 7, odd)} == {(1, 0), (2, 0), (3, 0), (11, 0), (13, 0), (14, 0), (7, 3), (8, 3)}
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = spark.createDataFrame([(1, "So: zeta, eta theta IOTA kappa! then " + "x " * 50 + "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta"), (3, " ".join(item.split()[::-1]))], "doc_id bigint, text string")
-    got = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id bigint, text string"), block_words=1).collect()
+    got = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id bigint, text string"), most_marks=0).collect()
     assert [(r.doc_id, r.item_id, r.tiled_words, len(r.spans)) for r in got] == [(1, 9, 10, 2)]
 
 
+def brute_tiles(doc, item, size):
+    """Greedy string tiling by trying every pair of places."""
+    found, used, taken = [], [False] * len(doc), [False] * len(item)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not used[i + n] and not taken[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        if best[2] < size:
+            return found
+        found.append(best)
+        for k in range(best[2]):
+            used[best[0] + k] = taken[best[1] + k] = True
+
+
+def test_tiles_against_brute_force():
+    rng = np.random.default_rng(8)
+    for trial in range(120):
+        letters = int(rng.integers(1, 6))
+        doc, item = (rng.integers(0, letters, int(rng.integers(0, 40))).astype(np.uint64) for _ in range(2))
+        size = int(rng.integers(1, 5))
+        for most in (1 << 20, 7):
+            assert decontaminate.tiles(doc, item, size, most) == brute_tiles(doc.tolist(), item.tolist(), size), trial
+    long = np.zeros(20_000, np.uint64)
+    assert decontaminate.tiles(long, long[:15_000], 5) == [(0, 0, 15_000)]
+
+
+@pytest.mark.parametrize("where", ["odd", "sf"])
+def test_decontamination_against_brute_force(spark, request, where):
+    folder = request.getfixturevalue(where)
+    plain = lambda t: [x for x in (w.strip(decontaminate.EDGES.decode()) for w in words("".join(c.lower() if c.isascii() else c for c in t or ""))) if x]
+    items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    known = [(i, w, n, runs(w, n)) for i, w in items if w for n in [min(5, len(w))]]
+    want = collections.Counter()
+    for doc_id, text in documents(spark, folder):
+        w = plain(text)
+        own = {n: runs(w, n) for n in range(1, 6)}
+        for i, item, n, seeds in known:
+            if seeds & own[n]:
+                number = {x: k for k, x in enumerate({*w, *item})}
+                a, b = (np.array([number[x] for x in y], np.uint64) for y in (w, item))
+                found = brute_tiles(a.tolist(), b.tolist(), n) if len(a) * len(b) < 50_000 else decontaminate.tiles(a, b, n)
+                covered = sum(x[2] for x in found)
+                if covered >= 0.5 * len(item):
+                    want[doc_id, i, len(item), covered, len(found)] += 1
+    assert collections.Counter((r.doc_id, r.item_id, r.item_words, r.tiled_words, r.n_tiles) for r in rows(spark, 7, folder)) == want
+    # the other ways: all fingerprints meet in a join, and items are too many to be broadcast
+    tables = [spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "benchmark")]
+    got = decontaminate.matches(*tables, most_marks=0, most_broadcast=0).collect()
+    assert collections.Counter((r.doc_id, r.item_id, r.item_words, r.tiled_words, len(r.spans)) for r in got) == want
+
+
+def test_stages_judge_rows(spark, odd):
+    """Null ids, repeated ids with other texts, and columns with the stages' own names."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
+    prose = "the quick brown fox jumps over the lazy dog and then runs away from every hunter in the dark old forest"
+    given = [(None, prose), (None, "nothing of the kind is said in these words here at all"), (5, prose + " again"), (5, "some other words that nobody has put into any list of items so far"), (5, "some other words that nobody has put into any list of items so far")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "k", 1, "t", 2) for i, t in given], docs.schema)
+    frame = frame.withColumns({c: F.lit(f"own {c}") for c in ("kept", "stats", "base_failed", "rule", "id", "mark", "component_id", "tiles")})
+    clean = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert clean(decontaminate.stage(spark, frame, odd)) == sorted((str(i), t) for i, t in given if "lazy dog" not in t)
+    deduped = jaccard_join.stage(spark, frame, odd)
+    assert clean(deduped) == sorted((str(i), t) for i, t in [*given[:2], min(given[2:4], key=lambda x: x[1])])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, odd)
+        assert out.columns == frame.columns and all(r.kept == "own kept" and r.stats == "own stats" and r.rule == "own rule" for r in out.collect())
+
+
 def brute_components(docs):
     sets, parent = {}, {i: i for i, _ in docs if i is not None}
 
@@ -292,6 +392,21 @@ def test_packing(spark, request, where):
     assert max(filled.values()) <= 1024 and sum(n < 1024 for n in filled.values()) <= 4
 
 
+def test_packing_of_long_blanks(spark):
+    texts = [" " * 1_000_001, "\n" * 1_500_000 + "x", "plain"]
+    assert [len(x) for x in packing.encoder(BPE)(texts)] == [len(x.ids) for x in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packed_neighbours_are_alike(spark):
+    """Texts of three vocabularies, shuffled: along the curve most neighbours are of one kind."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{a}{k}" for k in range(30)] for a in ("red", "blue", "green")]
+    docs = [(k, " ".join(rng.choice(kinds[k % 3], 60))) for k in range(240)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), BPE, length=64).collect()
+    order = list(dict.fromkeys(r.doc_id for r in sorted((r for r in got if not r.sequence_id & 1), key=lambda r: (r.sequence_id, r.offset))))
+    assert len(order) > 150 and np.mean([a % 3 == b % 3 for a, b in zip(order[:-1], order[1:], strict=True)]) > 0.75
+
+
 def test_packed_ids_and_hilbert(spark):
     df = spark.createDataFrame([(1, "a b c " * 900), (2, None)], "doc_id bigint, text string")
     got = {(r.doc_id, r.start): r for r in packing.pack(df, BPE, length=512).collect()}
