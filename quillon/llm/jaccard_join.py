@@ -475,22 +475,24 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small:
     members_of = found.where(F.col("kind") == MEMBER).select("shingle", F.col("a").alias("set"), F.col("na").alias("n"), F.col("b").alias("p"))
     between = _centred(members_of, t)
     tried = cut(found.where(F.col("kind") == PAIR).select("a", "na", "b", "nb").unionByName(between).distinct())
-    classes = members.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep"))
+    classes = cut(members.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep")))
     links = cut(_verified(docs, cut(_likely(survey, tried, t)), classes, t, width))
     label = _labels(links, classes)
-    known = members_of.join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node"), "left").select("shingle", "set", "n", "p", F.coalesce("label", "rep", F.xxhash64("set", "n")).alias("label"))
-    more = cut(_across(known, t).select("a", "na", "b", "nb").distinct().join(tried, ["a", "na", "b", "nb"], "left_anti"))
-    more = cut(_likely(survey, more, t))
-    if more.limit(1).count():
-        links = cut(links.unionByName(_verified(docs, more, classes, t, width)))
-        label = _labels(links, classes)
+    if not members_of.isEmpty():
+        known = members_of.join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node"), "left").select("shingle", "set", "n", "p", F.coalesce("label", "rep", F.xxhash64("set", "n")).alias("label"))
+        more = cut(_across(known, t).select("a", "na", "b", "nb").distinct().join(tried, ["a", "na", "b", "nb"], "left_anti"))
+        if not more.isEmpty():
+            more = cut(_likely(survey, more, t))
+        if not more.isEmpty():
+            links = cut(links.unionByName(_verified(docs, more, classes, t, width)))
+            label = _labels(links, classes)
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("label", "rep").alias("component"))
     out = members.select("doc_id", "set", "n", F.col("n").alias("n_shingles"))
     component = F.coalesce("component", "doc_id").alias("component_id")
     if not count:
         return out.join(named, ["set", "n"], "left").select("doc_id", "n_shingles", component)
     crowds = cut(_crowds(members_of, links, classes, label, *tile))
-    if crowds.limit(1).count():
+    if not crowds.isEmpty():
         links = cut(links.unionByName(_within(docs, crowds, classes, t, width)).distinct())
     degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).groupBy("e.set", "e.n").agg(F.count("*").alias("n_links_found"))
     out = out.join(named.join(degree, ["set", "n"], "left"), ["set", "n"], "left")
