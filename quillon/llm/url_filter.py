@@ -4,9 +4,10 @@ Rules name a host and a path prefix; a rule fits its host and all subdomains, an
 longest fitting rule wins. Where none fits, trees decide that were trained from labelled
 URLs: length, depth, digit ratio, entropy, parameter counts and statistics of the host's
 suffixes. Training takes at most about ``max_rows`` labelled URLs, chosen by hash (a
-documented bound); suffix statistics are smoothed rates in that sample and an unseen
-suffix gets the overall rate. Without labels of both kinds every URL gets the only or the
-default verdict (``allow``).
+documented bound). Where rules make the labels, the share of blocked ones among them says nothing of other URLs, so both
+labels weigh the same. Suffix statistics are smoothed rates in the sample. A suffix or path that it
+lacks is marked as unseen; the trees learn what to do then from rows whose statistics are hidden at random.
+Without labels of both kinds every URL gets the only or the default verdict (``allow``).
 
 Defined results: a null URL or one without ``://`` has empty host and path; repeated rows
 are judged one by one; an empty table gives no rows.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans(UPPER, LOWER)
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -71,8 +73,8 @@ def lexical(url: str | None) -> tuple[list[float], tuple[str, str, str]]:
     """The numeric features, and the keys whose statistics complete them: last label, last two labels, first path part."""
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else url
-    host = re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
-    tail = rest[len(host) :]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    tail, host = rest[len(host) :], host.translate(_LOWERED)
     path = re.split(r"[?#]", tail, maxsplit=1)[0]
     query = tail.split("#", 1)[0].partition("?")[2]
     parts, labels = [p for p in path.split("/") if p], host.split(".")
@@ -82,6 +84,9 @@ def lexical(url: str | None) -> tuple[list[float], tuple[str, str, str]]:
     return [float(x) for x in numbers], (labels[-1], ".".join(labels[-2:]), parts[0] if parts else "")
 
 
+UNSEEN = -1.0
+
+
 class Boosted:
     """Gradient-boosted trees for log loss, over histograms of quantile bins."""
 
@@ -91,17 +96,17 @@ class Boosted:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
         n, width = x.shape
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(width)]
         binned = self._binned(x)
-        mean = min(max(y.mean(), 1e-6), 1 - 1e-6)
+        mean = min(max(np.average(y, weights=weight), 1e-6), 1 - 1e-6)
         self.base, self.trees = math.log(mean / (1 - mean)), []
         margin = np.full(n, self.base)
         nodes = (1 << self.depth) - 1
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
-            g, h = y - p, p * (1 - p)
+            g, h = weight * (y - p), weight * p * (1 - p)
             feature, cut, where = np.full(nodes, -1), np.zeros(nodes, int), np.zeros(n, int)
             for level in range(self.depth):
                 first, wide = (1 << level) - 1, 1 << level
@@ -152,23 +157,30 @@ class UrlModel:
         prior = float(labels.mean()) if len(labels) else 0.0
         if not 0 < prior < 1:
             return cls(prior, [{}, {}, {}], None)
+        even = np.where(labels > 0, 0.5 / prior, 0.5 / (1 - prior))
         made = [lexical(u) for u in urls]
         stats = []
         for k in range(3):
-            seen, bad = Counter(), Counter()
-            for (_, keys), y in zip(made, labels, strict=True):
-                seen[keys[k]] += 1
-                bad[keys[k]] += y
-            stats.append({key: (bad[key] + weight * prior) / (n + weight) for key, n in seen.items() if n >= 5})
+            times: Counter = Counter()
+            seen: dict[str, float] = defaultdict(float)
+            bad: dict[str, float] = defaultdict(float)
+            for (_, keys), y, e in zip(made, labels, even, strict=True):
+                times[keys[k]] += 1
+                seen[keys[k]] += e
+                bad[keys[k]] += e * y
+            stats.append({key: (bad[key] + weight / 2) / (seen[key] + weight) for key, n in times.items() if n >= 5})
         model = cls(prior, stats, None)
-        model.trees = Boosted(**trees).fit(model.features(urls), labels)
+        whole = model.features(urls)
+        hidden = whole.copy()
+        hidden[:, -3:][np.random.default_rng(10).random((len(urls), 3)) < 0.5] = UNSEEN
+        model.trees = Boosted(**trees).fit(np.concatenate([whole, hidden]), np.tile(labels, 2), np.tile(even, 2))
         return model
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         rows = []
         for url in urls:
             numbers, keys = lexical(url)
-            rows.append(numbers + [self.stats[k].get(key, self.prior) for k, key in enumerate(keys)])
+            rows.append(numbers + [self.stats[k].get(key, UNSEEN) for k, key in enumerate(keys)])
         return np.array(rows, float).reshape(-1, len(FEATURES))
 
     def score(self, urls: list[str | None]) -> np.ndarray:

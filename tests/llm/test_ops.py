@@ -430,6 +430,37 @@ def test_url_rules_and_trees(spark, odd):
     assert url_filter.UrlModel.fit([], np.array([])).score(["x", None]).tolist() == [0.0, 0.0]
 
 
+def test_url_verdicts_against_brute_force(spark):
+    """Host, path and rule by plain Python on a whole table; held-out accuracy, and verdicts of other URLs that differ."""
+    folder = "/root/testdata/sf0.01"
+    lower = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return lower(host), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    def judge(url):
+        host, path = parts(url)
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()
+    want = collections.Counter((p.page_id, *parts(p.url), r.text if (r := judge(p.url)) else None, r.verdict if r else None) for p in pages)
+    got = rows(spark, 10, folder)
+    assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got) == want
+    others = [r for r in got if r.rule is None]
+    blocked = sum(r.verdict == "block" for r in others) / len(others)
+    assert 0.2 < blocked < 0.9 and all((r.verdict == "block") == (r.block_score >= 0.5) for r in others)
+    labelled = [(p.url, judge(p.url).verdict == "block") for p in pages if judge(p.url)]
+    train, held = labelled[: len(labelled) * 4 // 5], labelled[len(labelled) * 4 // 5 :]
+    model = url_filter.UrlModel.fit([u for u, _ in train], np.array([y for _, y in train], float))
+    assert ((model.score([u for u, _ in held]) >= 0.5) == np.array([y for _, y in held])).mean() > 0.95
+    assert url_filter.lexical("http://İx.org/a/b?c=1")[0][2:4] == [4.0, 2.0]
+
+
 def test_pipeline_stages(spark, odd, empty, sf):
     assert corpus_pipeline.run(spark, empty).count() == 0
     corpus_pipeline.run(spark, odd).collect()
