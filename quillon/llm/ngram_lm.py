@@ -307,7 +307,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
         if shard is not None:
             yield from close()
 
-    asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
     answers = cut(asked.mapInArrow(tidy(serve), _ANSWER))
     distinct = int(answers.where("kind = 1").agg(F.sum("words")).first()[0] or 0)
     summed = {r["block"]: r["n"] for r in answers.where("kind = 2").groupBy("block").agg(F.sum("words").alias("n")).collect()}
