@@ -17,7 +17,10 @@ from quillon.llm.common import table
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left.
+
+    Null and repeated ids and equal rows are packed one by one, a null text as its end id alone; other columns are not read.
+    """
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")), carry="ids_crc32")
