@@ -47,7 +47,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of a link; label is the smallest node reachable. ``links``: u, v (long).
 
     In each round a partition's edges first become stars by themselves. Then links are joined with the least
-    neighbour of one end, so no node's links meet in one task. Rounds are logarithmic in the size of a component.
+    neighbour of one end; the links of one node lie in one part of the shuffle, two whole numbers each, and are never held together.
+    Rounds are logarithmic in the size of a component.
     """
     edges = links.where("u != v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
     state = None

@@ -13,8 +13,8 @@ Equal sets are one class from the start and are compared once. A shingle's list
 the list's most central classes (those with the shingle nearest the front), in its part of the list and in the whole; after these
 links the classes of the list that are still in different components are compared, all of them, in
 tiles of bounded size, so that the components are exact. Last, within each component all
-classes of long lists are intersected with each other, again in tiles, by matrix products of their shingles;
-so every link is found, whatever the length of a list. Lists of very common shingles are salted.
+classes of long lists are intersected with each other, again in tiles, by matrix products of their shingles, and each tile
+says how many links a class has in it; so every link is counted, whatever the length of a list, and none of these is written out. Lists of very common shingles are salted.
 
 Defined results: a text with fewer than ``width`` words is one shingle of all its words; a null
 text, or one without words, has an empty set and is its own component; repeated rows
@@ -425,7 +425,7 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, w
 
 
 def _within(docs: DataFrame, crowds: DataFrame, classes: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """All links between the classes of each label in ``crowds``, by full sets, in tiles."""
+    """(set, n, links): how many links each class of ``crowds`` has to others of its label, by full sets, a row for each tile; the links themselves are not written out."""
     rows = crowds.join(_sets(docs, crowds.select("set", "n"), classes, width), ["set", "n"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set", "n"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "members")
@@ -436,11 +436,12 @@ def _within(docs: DataFrame, crowds: DataFrame, classes: DataFrame, t: Threshold
         _, i, j, block, who, n, members = x
         left, right = (np.flatnonzero(block == k[0]) for k in (i, j))
         ok = common_counts([np.frombuffer(v, np.uint64) for v in members], left, right) >= t.overlap(n[left][:, None], n[right])
-        a, b = np.nonzero(np.triu(ok, 1) if i[0] == j[0] else ok)
-        a, b = left[a], right[b]
-        swap = (who[b] < who[a]) | ((who[b] == who[a]) & (n[b] < n[a]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (who[a], n[a], who[b], n[b])], ["a", "na", "b", "nb"])
+        if i[0] == j[0]:
+            np.fill_diagonal(ok, False)
+            at, times = left, ok.sum(1)
+        else:
+            at, times = np.concatenate([left, right]), np.concatenate([ok.sum(1), ok.sum(0)])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (who[at].astype(np.int64), n[at].astype(np.int64), times.astype(np.int64))], ["set", "n", "links"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -457,7 +458,7 @@ def _within(docs: DataFrame, crowds: DataFrame, classes: DataFrame, t: Threshold
         if held is not None:
             yield group(held)
 
-    return rows.mapInArrow(tidy(run), _PAIR)
+    return rows.mapInArrow(tidy(run), "set bigint, n bigint, links bigint")
 
 
 def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small: int = 12, common: int = 24, most_common: int = 1 << 17, tile: tuple[int, int] = (1024, 1 << 18), count: bool = True) -> DataFrame:
@@ -492,9 +493,12 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small:
     if not count:
         return out.join(named, ["set", "n"], "left").select("doc_id", "n_shingles", component)
     crowds = cut(_crowds(members_of, links, classes, label, *tile))
+    inside = [crowds.select(F.col("set").alias(a), F.col("n").alias(n), F.lit(True).alias(f"in_{a}")) for a, n in (("a", "na"), ("b", "nb"))]
+    outside = links.join(inside[0], ["a", "na"], "left").join(inside[1], ["b", "nb"], "left").where("in_a IS NULL OR in_b IS NULL")  # the others are counted in their tiles
+    ends = outside.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).select("e.set", "e.n", F.lit(1).cast("bigint").alias("links"))
     if not crowds.isEmpty():
-        links = cut(links.unionByName(_within(docs, crowds, classes, t, width)).distinct())
-    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).groupBy("e.set", "e.n").agg(F.count("*").alias("n_links_found"))
+        ends = ends.unionByName(_within(docs, crowds, classes, t, width))
+    degree = ends.groupBy("set", "n").agg(F.sum("links").alias("n_links_found"))
     out = out.join(named.join(degree, ["set", "n"], "left"), ["set", "n"], "left")
     return out.select("doc_id", "n_shingles", component, F.coalesce("n_links_found", F.lit(0)).cast("bigint").alias("n_links_found"))
 
