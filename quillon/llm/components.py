@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .common import cut, tidy
 
+HEAVY = 4096
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node but the smallest of its component, and that smallest one."""
@@ -43,24 +45,36 @@ def _shortened(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m of their u from ``least`` (u, m, degree), u unique and with every u of ``edges``.
+
+    Nodes with more than a ``HEAVY``-th of all ``total`` rows, HEAVY at most, are broadcast, so that their edges stay where they are; the others meet by a shuffle.
+    """
+    heavy = least.where(F.col("degree") > max(64, total // HEAVY)).select("u", F.col("m").alias("known"))
+    marked = edges.join(F.broadcast(heavy), "u", "left")
+    rest = marked.where("known IS NULL").select("u", "v").join(least.select("u", "m"), "u")
+    return rest.unionByName(marked.where("known IS NOT NULL").select("u", "v", F.col("known").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of a link; label is the smallest node reachable. ``links``: u, v (long).
 
     In each round a partition's edges first become stars by themselves. Then links are joined with the least
-    neighbour of one end; the links of one node lie in one part of the shuffle, two whole numbers each, and are never held together.
+    neighbour of one end, those of a node with very many of them where they lie.
     Rounds are logarithmic in the size of a component.
     """
     edges = links.where("u != v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
-    state = None
+    state, rows = None, None
     while True:
         edges = cut(_shortened(edges))
+        rows = edges.count() if rows is None else rows  # later the count of the round before, which shortening only lowers
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = cut(_with_least(both, least, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(large, low, 2 * rows).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         found = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(found) == state:
             return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        edges, state = new, tuple(found)
+        edges, state, rows = new, tuple(found), found[0]

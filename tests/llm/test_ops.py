@@ -375,6 +375,24 @@ def test_components_of_a_long_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_components_of_crowded_nodes(spark):
+    """Nodes with most of all links, linked by chains and by each other's leaves, against a plain union."""
+    draw = np.random.default_rng(5)
+    pairs = [(hub, int(x)) for hub in (3, 5000, 9001) for x in draw.integers(0, 9000, 300)] + [(20000 + i, 20001 + i) for i in range(40)] + [(30000, 30001 + i) for i in range(200)]
+    parent = {x: x for pair in pairs for x in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "u bigint, v bigint").repartition(7)).collect()}
+    assert got == {x: root(x) for pair in pairs if pair[0] != pair[1] for x in pair}
+
+
 @pytest.mark.parametrize("where", ["odd", "sf"])
 def test_packing(spark, request, where):
     folder, library = request.getfixturevalue(where), Tokenizer.from_file(BPE)
