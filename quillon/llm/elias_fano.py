@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie over memory-mapped levels."""
+"""Elias-Fano sequences and an n-gram trie over memory-mapped levels."""
 
 from __future__ import annotations
 
@@ -108,31 +108,50 @@ class Levels:
         self.arrays = [whole[at : at + n * kind.itemsize].view(kind) for at, kind, n in spots]
 
 
-class Trie:
-    """Contexts, and for each a range of successors with a quantised value.
+class Successors:
+    """One level of a trie: for each context (a place on the level above) a range of successors.
 
-    Level 1 holds the contexts' sorted keys and the pointers to their ranges, level 2 the
-    successors, which are given with their context's base (its rank times ``span``) added, so that
-    they are monotone; a search in a context's range is a search for base + successor. All three are Elias-Fano
-    sequences in memory-mapped files.
+    Successors are kept with their context's base (its place times ``span``) added, so that they
+    are monotone, and a search in a context's range is a search for base + successor. Pointers and
+    successors are Elias-Fano sequences; ``codes`` holds a value of each successor, ``weights`` one of
+    each context.
     """
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, codes: np.ndarray, weights: np.ndarray, span: int):
-        parts = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(pointers.astype(np.uint64), int(pointers[-1]) + 1), EliasFano.encode(successors, max(1, len(contexts) * span))]
-        levels = Levels([x for p in parts for x in p[2:]] + [counts.astype(np.int64), codes, weights]).arrays
-        self.contexts, self.pointers, self.successors = (EliasFano(p[0], p[1], *levels[4 * k : 4 * k + 4]) for k, p in enumerate(parts))
-        self.counts, self.codes, self.weights = levels[12:]
-        self.span = span
+    def __init__(self, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, weights: np.ndarray, span: int):
+        self.pointers, self.successors, self.codes, self.weights, self.span = pointers, successors, codes, weights, span
 
-    def context(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each context, and whether it is there."""
-        return self.contexts.find(keys)
+    def places(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each successor of its context is, and whether it is there at all."""
+        at, found = self.successors.find(context.astype(np.uint64) * np.uint64(self.span) + successor)
+        return at, found & (at >= self.pointers.get(context).astype(np.int64)) & (at < self.pointers.get(context + 1).astype(np.int64))
 
-    def code(self, rank: np.ndarray, per: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Quantised values of successors, ``per`` of them for each context; 0 where there is none."""
-        at, found = self.successors.find(np.repeat(rank.astype(np.uint64) * np.uint64(self.span), per) + successors)
-        a, b = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
-        found &= (at >= np.repeat(a, per)) & (at < np.repeat(b, per))
+    def code(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Values at places that were found, else 0."""
         out = np.zeros(len(at), np.uint8)
         out[found] = self.codes[at[found]]
         return out
+
+
+class Trie:
+    """Contexts (sorted keys with counts) and levels of successors below them, in memory-mapped files.
+
+    A level is given as (successors with their base, codes, weights of the contexts, span); what a level holds are the
+    next level's contexts.
+    """
+
+    def __init__(self, contexts: np.ndarray, counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]):
+        sequences, above = [EliasFano.encode(contexts, 1 << 64)], len(contexts)
+        for based, _, _, span in levels:
+            pointers = np.searchsorted(based, np.arange(above + 1, dtype=np.uint64) * np.uint64(span))
+            sequences += [EliasFano.encode(pointers.astype(np.uint64), len(based) + 1), EliasFano.encode(based, max(1, above * span))]
+            above = len(based)
+        plain = [x for _, codes, weights, _ in levels for x in (codes, weights)]
+        stored = Levels([x for s in sequences for x in s[2:]] + [counts.astype(np.int64), *plain]).arrays
+        mapped = [EliasFano(s[0], s[1], *stored[4 * k : 4 * k + 4]) for k, s in enumerate(sequences)]
+        self.counts, *plain = stored[4 * len(sequences) :]
+        self.contexts = mapped[0]
+        self.levels = [Successors(mapped[2 * k + 1], mapped[2 * k + 2], plain[2 * k], plain[2 * k + 1], level[3]) for k, level in enumerate(levels)]
+
+    def context(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each context, and whether it is there."""
+        return self.contexts.find(keys)

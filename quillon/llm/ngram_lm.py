@@ -1,19 +1,20 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-An interpolated bigram model: ``p(w | h) = (1 - l(h)) * c(hw) / c(h) + l(h) * p1(w)`` with Witten and
-Bell's ``l(h) = k * n(h) / (c(h) + k * n(h))``, where n(h) counts the distinct words after h, and
+An interpolated trigram model: ``p(w | uv) = (1 - l(uv)) * c(uvw) / c(uv) + l(uv) * p(w | v)``,
+``p(w | v) = (1 - l(v)) * c(vw) / c(v) + l(v) * p1(w)``, with Witten and Bell's
+``l(h) = k * n(h) / (c(h) + k * n(h))``, where n(h) counts the distinct words after h, and
 ``p1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))``; unseen words share what p1 leaves. Texts are words
-(A-Z lower-cased) and one end, after one begin.
+(A-Z lower-cased) and one end, after one begin; a text's first token has no trigram.
 
-Documents are packed into blocks. A block sends each distinct word and each distinct bigram
+Documents are packed into blocks. A block sends each distinct word, bigram and trigram
 it holds once, with its training counts, to the shard of the first word; so a frequent
-bigram costs a block one entry. A shard sums the counts, builds its trie (contexts,
+one costs a block one entry. A shard sums the counts as it reads them, builds its trie (contexts,
 pointers and context-relative successors as Elias-Fano levels in memory-mapped files, with
 ``c(hw) / c(h)`` and ``l(h)`` quantised to a byte) and answers every block from it. Blocks then
 score their documents. Contexts that hold over ``hot_share`` of all tokens (at most its
 inverse) are sliced over many shards by successor; their n(h) is summed over the slices. The number of shards grows with the tokens, so a
 shard's memory is bounded; a word's successors are known by 40 bits of their hash in their
-context (two of a million are mistaken for each other with probability 1e-6).
+context (two of a million are mistaken for each other with probability 1e-6), a bigram's by 32.
 
 Defined results: a null text is an empty one (only the end); without training documents
 every word is unknown and counts are 0; repeated rows are scored, and train, one by one.
@@ -25,11 +26,11 @@ import io
 import math
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,11 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import binaries, cut, fold, parts, table, tidy, words_of
+from .common import cut, fold, parts, table, tidy
 from .elias_fano import Trie
 
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
-SPAN = 1 << 40
 SLICES = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Codes 1..255 stand for log10 values from 0 down to -12; 0 for none.
@@ -75,76 +75,113 @@ def _load(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(values: np.ndarray, n: int) -> np.ndarray:
+    """The lower ``n`` bytes of each value, byte by byte: upper bytes of sorted values repeat and compress."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : planes.shape[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts in a row (as ``words_of`` has them), and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    there = np.asarray(pc.binary_length(flat)) > 0
+    upto = np.append(0, np.cumsum(there))
+    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    return flat.filter(pa.array(there)), upto[offsets[1:]] - upto[offsets[:-1]]
+
+
+def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, and which of them each word is."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), np.asarray(coded.indices)
+
+
 class Block:
-    """The words and bigrams of some texts, laid out by shard."""
-
-    def __init__(self, texts: list[bytes | None], train: np.ndarray, hot: np.ndarray, shards: int):
-        hashes, sizes = [], []
-        for text in texts:
-            words = words_of(text)
-            h = np.empty(len(words) + 1, np.uint64)
-            h[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            h[-1] = END
-            hashes.append(h)
-            sizes.append(len(h))
-        token = np.concatenate(hashes)
-        self.sizes = np.array(sizes)
+    """The words, bigrams and trigrams of some texts, laid out by shard."""
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, hot: np.ndarray, shards: int, order: int):
+        flat, sizes = _words(texts)
+        hashes, index = _hashed(flat)
+        words = np.unique(np.concatenate([[BEGIN, END], hashes]))
+        self.sizes = sizes + 1
         self.ends = np.cumsum(self.sizes)
-        before = np.empty(len(token), np.uint64)
-        before[1:] = token[:-1]
-        before[np.append(0, self.ends[:-1])] = BEGIN
+        self.starts = self.ends - self.sizes
+        token_at = np.full(int(self.ends[-1]), np.searchsorted(words, END))
+        inside = np.ones(len(token_at), bool)
+        inside[self.ends - 1] = False
+        token_at[inside] = np.searchsorted(words, hashes)[index]
+        begin = int(np.searchsorted(words, BEGIN))
         own = np.repeat(train, self.sizes)
-        words, at = np.unique(np.concatenate([[BEGIN], token]), return_inverse=True)
-        token_at, begin = at[1:], int(at[0])
         counts = np.bincount(token_at, own, len(words)).astype(np.int64)
         counts[begin] += int(train.sum())
-        before_at = np.empty(len(token), np.int64)
+        before_at = np.empty(len(token_at), np.int64)
         before_at[1:] = token_at[:-1]
-        before_at[np.append(0, self.ends[:-1])] = begin
+        before_at[self.starts] = begin
         pair, pair_of = np.unique(before_at * len(words) + token_at, return_inverse=True)
         times = np.bincount(pair_of, own, len(pair)).astype(np.int64)
         head, tail = pair // len(words), pair % len(words)
-        successor = _mixed(words) >> np.uint64(24)
+        mixed = _mixed(words)
+        successor = mixed >> np.uint64(24)
         is_hot = np.isin(words, hot)
         entry_word = np.concatenate([np.flatnonzero(~is_hot), np.repeat(np.flatnonzero(is_hot), SLICES)])
         entry_slice = np.concatenate([np.zeros(int((~is_hot).sum()), np.int64), np.tile(np.arange(SLICES), int(is_hot.sum()))])
         with np.errstate(over="ignore"):
             key = words[entry_word] + entry_slice.astype(np.uint64) * _MIX  # a slice of a context is a context of its own
         shard = (_mixed(key) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((key, shard))
-        self.key, self.shard, entry_word, entry_slice = key[order], shard[order], entry_word[order], entry_slice[order]
+        placed = np.lexsort((key, shard))
+        self.key, self.shard, entry_word, entry_slice = key[placed], shard[placed], entry_word[placed], entry_slice[placed]
         self.count = counts[entry_word]
         self.hot_at = np.where(is_hot[entry_word], np.searchsorted(hot, words[entry_word]), -1)
-        place = np.full((len(words), 1), -1)
+        place = np.full(len(words), -1)
         first = entry_slice == 0
-        place[entry_word[first], 0] = np.flatnonzero(first)
+        place[entry_word[first]] = np.flatnonzero(first)
         sliced = np.full((int(is_hot.sum()), SLICES), -1)
         hot_row = np.cumsum(is_hot) - 1
         of_hot = is_hot[entry_word]
         sliced[hot_row[entry_word[of_hot]], entry_slice[of_hot]] = np.flatnonzero(of_hot)
-        entry = place[head, 0]
+        entry = place[head]
         hot_pair = is_hot[head]
         entry[hot_pair] = sliced[hot_row[head[hot_pair]], (successor[tail[hot_pair]] % np.uint64(SLICES)).astype(np.int64)]
-        order = np.lexsort((successor[tail], entry))
-        self.pair_entry, self.successor, self.times = entry[order], successor[tail][order], times[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        placed = np.lexsort((successor[tail], entry))
+        self.pair_entry, self.successor, self.times = entry[placed], successor[tail][placed], times[placed]
+        back = np.empty(len(placed), np.int64)
+        back[placed] = np.arange(len(placed))
         self.pair_of = back[pair_of]
-        self.entry_of = place[token_at, 0]
+        self.entry_of = place[token_at]
         self.begins = np.append(np.flatnonzero(np.append(True, self.shard[1:] != self.shard[:-1])), len(self.shard))
+        # a trigram lies below the bigram before its last word; a text's first token has none
+        self.later = np.ones(len(token_at), bool)
+        self.later[self.starts] = False
+        if order < 3:
+            self.later[:] = False
+        at = np.flatnonzero(self.later)
+        last = (mixed >> np.uint64(32))[token_at[at]]
+        triple, self.triple_of = np.unique(self.pair_of[at - 1].astype(np.uint64) << np.uint64(32) | last, return_inverse=True)
+        self.triple_times = np.bincount(self.triple_of, own[at], len(triple)).astype(np.int64)
+        self.triple_pair, self.last = (triple >> np.uint64(32)).astype(np.int64), triple & np.uint64(0xFFFFFFFF)
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """(shard, what it is asked and told)."""
-        pair_begins = np.searchsorted(self.pair_entry, self.begins)
+        pairs = np.searchsorted(self.pair_entry, self.begins)
+        triples = np.searchsorted(self.triple_pair, pairs)
         for k in range(len(self.begins) - 1):
-            a, b, x, y = self.begins[k], self.begins[k + 1], pair_begins[k], pair_begins[k + 1]
+            (a, b), (x, y), (s, t) = self.begins[k : k + 2], pairs[k : k + 2], triples[k : k + 2]
             per = np.bincount(self.pair_entry[x:y] - a, minlength=b - a)
-            yield int(self.shard[a]), _dump(self.key[a:b], self.count[a:b].astype(np.uint32), per.astype(np.uint32), np.ascontiguousarray(self.successor[x:y].view(np.uint8).reshape(-1, 8)[:, :5]), self.times[x:y].astype(np.uint32))
+            below = np.bincount(self.triple_pair[s:t] - x, minlength=y - x)
+            told = (self.count[a:b], per, self.times[x:y], below, self.triple_times[s:t])
+            yield int(self.shard[a]), _dump(self.key[a:b], _planes(self.successor[x:y], 5), _planes(self.last[s:t], 4), *(z.astype(np.uint32) for z in told))
 
     def score(self, answers: list[tuple[int, bytes]], total: int, distinct: int, after: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each text. ``answers`` by shard; ``after``: n(h) of the frequent words."""
         parts_ = [_load(x) for _, x in sorted(answers)]
-        count, weight, code = (np.concatenate([p[k] for p in parts_]) for k in range(3))
+        count, weight, code, lower, triple = (np.concatenate([p[k] for p in parts_]) for k in range(5))
         c = count[self.entry_of].astype(float)
         base = (c + 0.5) / (total + 0.5 * (distinct + 1))
         backed, often = _VALUES[weight], self.hot_at >= 0
@@ -154,48 +191,81 @@ class Block:
         pair = self.pair_of
         left = backed[self.pair_entry[pair]]
         p = (1 - left) * _VALUES[code[pair]] + left * base
-        starts = np.append(0, self.ends[:-1])
-        add = lambda x: np.add.reduceat(x, starts)
+        at = np.flatnonzero(self.later)
+        if len(at):
+            left = np.where(lower > 0, _VALUES[lower], 1.0)[pair[at - 1]]
+            p[at] = (1 - left) * _VALUES[triple[self.triple_of]] + left * p[at]
+        add = lambda x: np.add.reduceat(x, self.starts)
         return add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
 
 
-def build_trie(requests: Iterable[bytes], k: float) -> Trie:
-    """The trie of all training counts in a shard's requests."""
-    keys, counts, pers, successors, times = [], [], [], [], []
-    for data in requests:
-        key, count, per, five, time = _load(data)
+def _summed(pieces: Iterable[tuple[np.ndarray, np.ndarray]], room: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers. What waits to be summed stays within the distinct keys and ``room``."""
+    keys, numbers, waiting = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+
+    def settle() -> None:
+        nonlocal waiting
+        key, number = np.concatenate(keys), np.concatenate(numbers)
+        order = np.argsort(key, kind="stable")  # runs that are in order already merge fast
+        key, number = key[order], number[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        keys[:], numbers[:], waiting = [key[new]], [np.add.reduceat(number, new) if len(new) else number], 0
+
+    for key, number in pieces:
         keys.append(key)
-        counts.append(count)
-        pers.append(per)
-        successors.append(_wide(five))
-        times.append(time)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-    time = np.concatenate(times)
-    seen = time > 0
-    placed = (np.repeat(at.astype(np.uint64), np.concatenate(pers)) << np.uint64(40) | np.concatenate(successors))[seen]
-    order = np.argsort(placed)
-    placed, time = placed[order], time[seen][order]
-    new = np.flatnonzero(np.append(True, placed[1:] != placed[:-1])) if len(placed) else np.empty(0, np.int64)
-    summed = np.add.reduceat(time.astype(np.int64), new) if len(new) else np.empty(0, np.int64)
-    placed = placed[new]
-    owner = (placed >> np.uint64(40)).astype(np.int64)
-    pointers = np.searchsorted(owner, np.arange(len(key) + 1))
-    distinct = k * np.diff(pointers)
-    return Trie(key, count, pointers, placed, quantised(summed / count[owner]), quantised(distinct / np.maximum(count + distinct, 1e-9)), SPAN)
-
-
-def _wide(five: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view(np.uint64).ravel()
+        numbers.append(number.astype(np.int64))
+        waiting += len(key)
+        if waiting > room + len(keys[0]):
+            settle()
+    settle()
+    return keys[0], numbers[0]
+
+
+def build_trie(requests: Callable[[], Iterable[bytes]], k: float) -> Trie:
+    """The trie of all training counts in a shard's requests, which are read once a level."""
+
+    def contexts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for data in requests():
+            key, _, _, count, *_ = _load(data)
+            yield key, count
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for data in requests():
+            key, five, _, _, per, times, *_ = _load(data)
+            seen = times > 0
+            yield (np.repeat(np.searchsorted(keys, key).astype(np.uint64) << np.uint64(40), per) | _whole(five))[seen], times[seen]
+
+    def triples() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for data in requests():
+            key, five, four, _, per, times, below, often = _load(data)
+            seen = often > 0  # then the bigram is one of training as well
+            owner = np.searchsorted(placed, np.repeat(np.searchsorted(keys, key).astype(np.uint64) << np.uint64(40), per) | _whole(five))
+            yield (np.repeat(owner.astype(np.uint64) << np.uint64(32), below) | _whole(four))[seen], often[seen]
+
+    keys, counts = _summed(contexts())
+    placed, together = _summed(pairs())
+    lower, thrice = _summed(triples())
+
+    def level(based: np.ndarray, number: np.ndarray, bits: int, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        owner = (based >> np.uint64(bits)).astype(np.int64)
+        different = k * np.bincount(owner, minlength=len(above))
+        return based, quantised(number / above[owner]), quantised(different / np.maximum(above + different, 1e-9)), 1 << bits
+
+    return Trie(keys, counts, [level(placed, together, 40, counts), level(lower, thrice, 32, together)])
 
 
 def answer(trie: Trie, request: bytes) -> bytes:
-    """Counts and weights of the contexts asked for, and the codes of their successors."""
-    key, _, per, five, _ = _load(request)
+    """Counts and weights of the words asked for, codes and weights of their successors, codes of those' successors."""
+    key, five, four, _, per, _, below, _ = _load(request)
     rank, _ = trie.context(key)
-    return _dump(np.asarray(trie.counts[rank]).astype(np.uint32), np.asarray(trie.weights[rank]), trie.code(rank, per, _wide(five)))
+    second, third = trie.levels
+    at, found = second.places(np.repeat(rank, per), _whole(five))
+    weights = np.zeros(len(at), np.uint8)
+    weights[found] = third.weights[at[found]]
+    codes = np.zeros(len(four[0]), np.uint8)
+    known = np.repeat(found, below)
+    codes[known] = third.code(*third.places(np.repeat(at, below)[known], _whole(four)[known]))
+    return _dump(np.asarray(trie.counts[rank]).astype(np.uint32), np.asarray(second.weights[rank]), second.code(at, found), weights, codes)
 
 
 def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -204,12 +274,12 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = binaries(batch.column(2))
+            lengths = np.asarray(pc.binary_length(batch.column(2)).fill_null(0))
             train = np.asarray(batch.column(1).fill_null(False))
             cuts, size = [0], 0
-            for k, text in enumerate(texts):
-                size += len(text or b"") + 8
-                if size >= block_bytes or k == len(texts) - 1:
+            for k, length in enumerate(lengths.tolist()):
+                size += length + 8
+                if size >= block_bytes or k == len(lengths) - 1:
                     cuts.append(k + 1)
                     size = 0
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -217,10 +287,11 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
                 sink = io.BytesIO()
                 with pa.ipc.new_stream(sink, part.schema) as writer:
                     writer.write_batch(part)
-                sizes = np.array([len(words_of(x)) + 1 for x in texts[a:b]])
-                seen = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, words_of(x)), np.uint64) for x in texts[a:b]])
-                value, count = np.unique(seen, return_counts=True)
-                often = count >= max(50, len(seen) / 4000)
+                flat, sizes = _words(part.column(2))
+                sizes += 1
+                value, index = _hashed(flat)
+                count = np.bincount(index, minlength=len(value))
+                often = count >= max(50, len(flat) / 4000)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": [number],
@@ -246,8 +317,10 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
 _ANSWER = "kind int, block bigint, shard int, words bigint, data binary"
 
 
-def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int = 8 << 20, shard_tokens: int = 4_000_000, hot_share: float = 0.0005) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. Rows for which ``held_out`` holds do not train."""
+def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int = 8 << 20, shard_tokens: int = 4_000_000, hot_share: float = 0.0005, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. Rows for which ``held_out`` holds do not train. ``order``: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("doc_id", (~held_out).alias("train"), "text")
@@ -262,7 +335,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
         slices = hot[:, None] + np.arange(SLICES, dtype=np.uint64) * _MIX
 
     def block_of(batch: pa.RecordBatch) -> Block:
-        return Block(binaries(batch.column(2)), np.asarray(batch.column(1).fill_null(False)), hot, shards)
+        return Block(batch.column(2), np.asarray(batch.column(1).fill_null(False)), hot, shards, order)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,9 +352,9 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
                 for block, size in waiting:
                     yield block, spool.read(size)
 
-            trie = build_trie((d for _, d in stored()), k)
+            trie = build_trie(lambda: (d for _, d in stored()), k)
             words = int(((trie.counts[:] > 0) & first_slice(trie)).sum())
-            ranges = trie.pointers.get(np.arange(trie.contexts.n + 1)).astype(np.int64)
+            ranges = trie.levels[0].pointers.get(np.arange(trie.contexts.n + 1)).astype(np.int64)
             rank, there = trie.context(slices.ravel())
             for word, at in zip(np.repeat(hot.astype(np.int64), SLICES)[there].tolist(), rank[there].tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([word], pa.int64()), pa.array([shard], pa.int32()), pa.array([int(ranges[at + 1] - ranges[at])], pa.int64()), pa.array([None], pa.binary())], ["kind", "block", "shard", "words", "data"])
@@ -309,6 +382,8 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
 
     asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
     answers = cut(asked.mapInArrow(tidy(serve), _ANSWER))
+    del asked
+    spark._jvm.System.gc()  # nothing reads the requests' shuffle files any more; Spark removes those of plans that are gone
     distinct = int(answers.where("kind = 1").agg(F.sum("words")).first()[0] or 0)
     summed = {r["block"]: r["n"] for r in answers.where("kind = 2").groupBy("block").agg(F.sum("words").alias("n")).collect()}
     after = np.array([summed.get(int(h), 0) for h in hot.astype(np.int64)], float)
@@ -322,7 +397,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
             known, base, scores = block.score(got, total, distinct, after, k)
             n = len(scores)
             train = documents.column(1).fill_null(False)
-            yield pa.RecordBatch.from_arrays([documents.column(0), pa.compute.invert(train), pa.array(block.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([documents.column(0), pc.invert(train), pa.array(block.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for batch in batches:
             for what, block, shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):

@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import chat_format, components, decontaminate, elias_fano, jaccard_join, packing, quality_rules, sharding, token_count, toxicity, url_filter
+from quillon.llm import chat_format, common, components, decontaminate, elias_fano, jaccard_join, ngram_lm, packing, quality_rules, sharding, token_count, toxicity, url_filter
 from quillon.llm.queries import QUERIES
 
 OPS = {n: next(k for k in QUERIES if k.startswith(f"op{n}_")) for n in range(1, 11)}
@@ -161,23 +162,30 @@ def test_toxicity_against_brute_force(spark, sf):
     assert names and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
 
 
-@pytest.mark.parametrize("where", ["odd", "sf"])
-def test_language_model(spark, request, where):
+@pytest.mark.parametrize("where, order", [("odd", 3), ("odd", 2), ("sf", 3)])
+def test_language_model(spark, request, where, order):
     folder = request.getfixturevalue(where)
     docs = [(i, [w.encode() for w in words("".join(c.lower() if c.isascii() else c for c in t or ""))] + [None]) for i, t in documents(spark, folder)]
     train = [w for i, w in docs if fold(i) != 1]
     c = collections.Counter(x for w in train for x in w)
-    pairs = collections.Counter(p for w in train for p in zip([0, *w[:-1]], w, strict=True))
-    after, total, v = collections.Counter(h for h, _ in pairs), sum(c.values()), len(c)
-    c0 = collections.Counter(c)
-    c0[0] = len(train)
+    total, v = sum(c.values()), len(c)
+    grams = collections.Counter(g for w in train for n in (2, 3) for g in zip(*([0, *w][k:] for k in range(n)), strict=False))
+    after, times = collections.Counter(g[:-1] for g in grams), collections.Counter()
+    for g, n in grams.items():
+        times[g[:-1]] += n
+
+    def p(h, x):
+        if not h:
+            return (c[x] + 0.5) / (total + 0.5 * (v + 1))
+        left = 4 * after[h] / (times[h] + 4 * after[h]) if times[h] else 1.0
+        return (1 - left) * grams[(*h, x)] / max(times[h], 1) + left * p(h[1:], x)
+
     want = collections.defaultdict(list)
     for i, w in docs:
-        p1 = [(c[x] + 0.5) / (total + 0.5 * (v + 1)) for x in w]
-        weight = lambda h: 4 * after[h] / (c0[h] + 4 * after[h]) if c0[h] else 1.0
-        score = sum(math.log10((1 - weight(h)) * pairs[h, x] / max(c0[h], 1) + weight(h) * p) for h, x, p in zip([0, *w[:-1]], w, p1, strict=True))
-        want[i].append((len(w), sum(c[x] > 0 for x in w), total, sum(map(math.log10, p1)), score))
-    got = rows(spark, 5, folder)
+        own = [0, *w]
+        score = sum(math.log10(p(tuple(own[max(0, k - order + 1) : k]), own[k])) for k in range(1, len(own)))
+        want[i].append((len(w), sum(c[x] > 0 for x in w), total, sum(math.log10(p((), x)) for x in w), score))
+    got = rows(spark, 5, folder) if order == 3 else ngram_lm.score_lm(spark.read.parquet(f"{folder}/documents.parquet"), common.fold(F.col("doc_id")) == 1, order=2).collect()
     assert len(got) == len(docs)
     for r in got:
         best = min(want[r.doc_id], key=lambda x: abs(x[3] - r.base_score))
@@ -185,6 +193,13 @@ def test_language_model(spark, request, where):
         assert abs(r.base_score - best[3]) <= 1e-6 * abs(best[3]) + 1e-9 and abs(r.score - best[4]) <= 0.03 * r.n_tokens
 
 
+def test_words_in_arrow():
+    texts = ["A b\tC", None, "", "  \n x\x0b\x0cy\r", "É\u00a0ß İ\x1fz \u2028q", "\x00 a\x00B"]
+    flat, sizes = ngram_lm._words(pa.array(texts).slice(1))
+    want = [common.words_of(t.encode() if t else None) for t in texts[1:]]
+    assert [w.encode() for w in flat.to_pylist()] == [w for x in want for w in x] and sizes.tolist() == list(map(len, want))
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(1)
     for n, u in ((1, 3), (7, 7), (500, 1 << 63), (3000, 4000)):
