@@ -7,35 +7,33 @@ import tempfile
 
 import numpy as np
 
-_ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 _PLACE = np.zeros((256, 8), np.uint8)  # _PLACE[byte, r]: where the byte's r-th one is
 for _b in range(256):
     for _r, _k in enumerate([k for k in range(8) if _b >> k & 1]):
         _PLACE[_b, _r] = _k
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _LOWER = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 
 
-def _select(data: np.ndarray, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Positions of the ``rank``-th ones (from 0). before[k]: ones in the bytes ahead of block k of 8 bytes."""
-    block = np.searchsorted(before, rank, "right") - 1
-    left = rank - before[block]
-    at = block * 8
-    byte = data[at]
-    for _ in range(7):
-        ones = _ONES[byte]
-        on = left >= ones
-        if not on.any():
-            break
-        left = np.where(on, left - ones, left)
-        at = np.where(on, at + 1, at)
-        byte = data[at]
-    return at * 8 + _PLACE[byte, left]
+def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Positions of the ``rank``-th ones (from 0) of 64-bit words. before[k]: ones ahead of word k."""
+    at = np.searchsorted(before, rank, "right") - 1
+    left, word = (rank - before[at]).astype(np.uint64), words[at]
+    # ones up to each byte's end, side by side: ones of two, four and eight bits, then running sums by one product
+    ones = word - ((word >> np.uint64(1)) & _FIVES)
+    ones = (ones & _THREES) + ((ones >> np.uint64(2)) & _THREES)
+    with np.errstate(over="ignore"):
+        upto = ((ones + (ones >> np.uint64(4))) & _LOWER) * _EACH
+    byte = np.bitwise_count((left * _EACH | _TOP) - upto & _TOP).astype(np.uint64) * np.uint64(8)  # bytes that end before the one
+    ahead = ((upto << np.uint64(8)) >> byte) & np.uint64(255)
+    return at * 64 + byte.astype(np.int64) + _PLACE[(word >> byte) & np.uint64(255), left - ahead]
 
 
 class EliasFano:
     """A monotone sequence: ``low`` bits of each value side by side, the rest in unary."""
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
-        self.n, self.low, self.lows, self.highs, self.ones, self.zeros = n, low, lows, highs, ones, zeros
+        self.n, self.low, self.lows, self.highs, self.ones, self.zeros = n, low, lows, highs.view("<u8"), ones, zeros
         self.highs_off = None
         self.eights = np.ndarray(max(len(lows) - 7, 0), "<u8", lows, strides=(1,))
 
@@ -121,9 +119,11 @@ class Successors:
         self.pointers, self.successors, self.codes, self.weights, self.span = pointers, successors, codes, weights, span
 
     def places(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each successor of its context is, and whether it is there at all."""
-        at, found = self.successors.find(context.astype(np.uint64) * np.uint64(self.span) + successor)
-        return at, found & (at >= self.pointers.get(context).astype(np.int64)) & (at < self.pointers.get(context + 1).astype(np.int64))
+        """Where each successor of its context is, and whether it is there at all.
+
+        The context's base confines the search to its range: an equal value can only be one of its own.
+        """
+        return self.successors.find(context.astype(np.uint64) * np.uint64(self.span) + successor)
 
     def code(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Values at places that were found, else 0."""

@@ -22,6 +22,7 @@ every word is unknown and counts are 0; repeated rows are scored, and train, one
 
 from __future__ import annotations
 
+import gc
 import io
 import math
 import os
@@ -76,7 +77,7 @@ def _load(data: bytes) -> list[np.ndarray]:
 
 
 def _planes(values: np.ndarray, n: int) -> np.ndarray:
-    """The lower ``n`` bytes of each value, byte by byte: upper bytes of sorted values repeat and compress."""
+    """The lower ``n`` bytes of each value, byte by byte: upper bytes of small numbers repeat and compress."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
 
 
@@ -150,7 +151,7 @@ class Block:
         hot_pair = is_hot[head]
         entry[hot_pair] = sliced[hot_row[head[hot_pair]], (successor[tail[hot_pair]] % np.uint64(SLICES)).astype(np.int64)]
         placed = np.lexsort((successor[tail], entry))
-        self.pair_entry, self.successor, self.times = entry[placed], successor[tail][placed], times[placed]
+        self.successor, self.pair_entry, self.tail, self.times = successor, entry[placed], tail[placed], times[placed]
         back = np.empty(len(placed), np.int64)
         back[placed] = np.arange(len(placed))
         self.pair_of = back[pair_of]
@@ -162,21 +163,28 @@ class Block:
         if order < 3:
             self.later[:] = False
         at = np.flatnonzero(self.later)
-        last = (mixed >> np.uint64(32))[token_at[at]]
-        triple, self.triple_of = np.unique(self.pair_of[at - 1].astype(np.uint64) << np.uint64(32) | last, return_inverse=True)
+        triple, self.triple_of = np.unique(self.pair_of[at - 1] << 32 | token_at[at], return_inverse=True)
         self.triple_times = np.bincount(self.triple_of, own[at], len(triple)).astype(np.int64)
-        self.triple_pair, self.last = (triple >> np.uint64(32)).astype(np.int64), triple & np.uint64(0xFFFFFFFF)
+        self.triple_pair, self.last = triple >> 32, triple & 0xFFFFFFFF
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """(shard, what it is asked and told)."""
         pairs = np.searchsorted(self.pair_entry, self.begins)
         triples = np.searchsorted(self.triple_pair, pairs)
+        number = np.empty(len(self.successor), np.int64)
         for k in range(len(self.begins) - 1):
             (a, b), (x, y), (s, t) = self.begins[k : k + 2], pairs[k : k + 2], triples[k : k + 2]
             per = np.bincount(self.pair_entry[x:y] - a, minlength=b - a)
             below = np.bincount(self.triple_pair[s:t] - x, minlength=y - x)
+            said = np.append(self.tail[x:y], self.last[s:t])
+            number[said[::-1]] = np.arange(len(said), 0, -1)
+            first = number[said] == np.arange(1, len(said) + 1)
+            used = said[first]  # words in order of appearance: 0 stands for the next one, k for the k-th
+            number[used] = np.arange(1, len(used) + 1)
+            said = np.where(first, 0, number[said])
             told = (self.count[a:b], per, self.times[x:y], below, self.triple_times[s:t])
-            yield int(self.shard[a]), _dump(self.key[a:b], _planes(self.successor[x:y], 5), _planes(self.last[s:t], 4), *(z.astype(np.uint32) for z in told))
+            keys = np.diff(self.key[a:b], prepend=np.uint64(0))
+            yield int(self.shard[a]), _dump(_planes(keys, 8), _planes(self.successor[used], 5), _planes(said, 4), *(z.astype(np.uint32) for z in told))
 
     def score(self, answers: list[tuple[int, bytes]], total: int, distinct: int, after: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each text. ``answers`` by shard; ``after``: n(h) of the frequent words."""
@@ -199,6 +207,23 @@ class Block:
         return add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
 
 
+class Request:
+    """What a block asks and tells a shard: words, for each its successors, for each of those its own."""
+
+    def __init__(self, data: bytes):
+        keys, words, said, self.count, self.per, self.times, self.below, self.triple_times = _load(data)
+        self.key, said = np.cumsum(_whole(keys), dtype=np.uint64), _whole(said).astype(np.int64)
+        first = said == 0
+        said -= 1
+        said[first] = np.arange(words.shape[1])
+        words = _whole(words)[said]
+        self.tail, self.last = words[: len(self.times)], words[len(self.times) :] >> np.uint64(8)
+
+    def pairs(self, rank: np.ndarray) -> np.ndarray:
+        """Successors with the base of their contexts, whose ranks are given."""
+        return np.repeat(rank.astype(np.uint64) << np.uint64(40), self.per) | self.tail
+
+
 def _summed(pieces: Iterable[tuple[np.ndarray, np.ndarray]], room: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their numbers. What waits to be summed stays within the distinct keys and ``room``."""
     keys, numbers, waiting = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
@@ -226,21 +251,21 @@ def build_trie(requests: Callable[[], Iterable[bytes]], k: float) -> Trie:
 
     def contexts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for data in requests():
-            key, _, _, count, *_ = _load(data)
-            yield key, count
+            told = Request(data)
+            yield told.key, told.count
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for data in requests():
-            key, five, _, _, per, times, *_ = _load(data)
-            seen = times > 0
-            yield (np.repeat(np.searchsorted(keys, key).astype(np.uint64) << np.uint64(40), per) | _whole(five))[seen], times[seen]
+            told = Request(data)
+            seen = told.times > 0
+            yield told.pairs(np.searchsorted(keys, told.key))[seen], told.times[seen]
 
     def triples() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for data in requests():
-            key, five, four, _, per, times, below, often = _load(data)
-            seen = often > 0  # then the bigram is one of training as well
-            owner = np.searchsorted(placed, np.repeat(np.searchsorted(keys, key).astype(np.uint64) << np.uint64(40), per) | _whole(five))
-            yield (np.repeat(owner.astype(np.uint64) << np.uint64(32), below) | _whole(four))[seen], often[seen]
+            told = Request(data)
+            seen = told.triple_times > 0  # then the bigram is one of training as well
+            owner = np.searchsorted(placed, told.pairs(np.searchsorted(keys, told.key)))
+            yield (np.repeat(owner.astype(np.uint64) << np.uint64(32), told.below) | told.last)[seen], told.triple_times[seen]
 
     keys, counts = _summed(contexts())
     placed, together = _summed(pairs())
@@ -256,15 +281,15 @@ def build_trie(requests: Callable[[], Iterable[bytes]], k: float) -> Trie:
 
 def answer(trie: Trie, request: bytes) -> bytes:
     """Counts and weights of the words asked for, codes and weights of their successors, codes of those' successors."""
-    key, five, four, _, per, _, below, _ = _load(request)
-    rank, _ = trie.context(key)
+    asked = Request(request)
+    rank, _ = trie.context(asked.key)
     second, third = trie.levels
-    at, found = second.places(np.repeat(rank, per), _whole(five))
+    at, found = second.places(np.repeat(rank, asked.per), asked.tail)
     weights = np.zeros(len(at), np.uint8)
     weights[found] = third.weights[at[found]]
-    codes = np.zeros(len(four[0]), np.uint8)
-    known = np.repeat(found, below)
-    codes[known] = third.code(*third.places(np.repeat(at, below)[known], _whole(four)[known]))
+    codes = np.zeros(len(asked.last), np.uint8)
+    known = np.repeat(found, asked.below)
+    codes[known] = third.code(*third.places(np.repeat(at, asked.below)[known], asked.last[known]))
     return _dump(np.asarray(trie.counts[rank]).astype(np.uint32), np.asarray(second.weights[rank]), second.code(at, found), weights, codes)
 
 
@@ -383,6 +408,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
     asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
     answers = cut(asked.mapInArrow(tidy(serve), _ANSWER))
     del asked
+    gc.collect()
     spark._jvm.System.gc()  # nothing reads the requests' shuffle files any more; Spark removes those of plans that are gone
     distinct = int(answers.where("kind = 1").agg(F.sum("words")).first()[0] or 0)
     summed = {r["block"]: r["n"] for r in answers.where("kind = 2").groupBy("block").agg(F.sum("words").alias("n")).collect()}
