@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_clean(spark: SparkSession, plan: Callable[[], DataFrame]) -> DataFrame:
+    """``cut`` of what ``plan`` builds; Spark removes its shuffle files once it is written, for nothing reads them any more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return cut(plan())
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

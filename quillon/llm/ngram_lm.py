@@ -22,7 +22,6 @@ every word is unknown and counts are 0; repeated rows are scored, and train, one
 
 from __future__ import annotations
 
-import gc
 import io
 import math
 import os
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import cut, fold, parts, table, tidy
+from .common import cut, cut_and_clean, fold, parts, table, tidy
 from .elias_fano import Trie
 
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
@@ -406,10 +405,7 @@ def score_lm(docs: DataFrame, held_out: Column, k: float = 4.0, block_bytes: int
             yield from close()
 
     asked = blocks.select("block", "data").mapInArrow(tidy(ask), "block bigint, shard int, data binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
-    answers = cut(asked.mapInArrow(tidy(serve), _ANSWER))
-    del asked
-    gc.collect()
-    spark._jvm.System.gc()  # nothing reads the requests' shuffle files any more; Spark removes those of plans that are gone
+    answers = cut_and_clean(spark, lambda: asked.mapInArrow(tidy(serve), _ANSWER))
     distinct = int(answers.where("kind = 1").agg(F.sum("words")).first()[0] or 0)
     summed = {r["block"]: r["n"] for r in answers.where("kind = 2").groupBy("block").agg(F.sum("words").alias("n")).collect()}
     after = np.array([summed.get(int(h), 0) for h in hot.astype(np.int64)], float)
