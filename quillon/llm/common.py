@@ -44,6 +44,16 @@ def cut_and_clean(spark: SparkSession, plan: Callable[[], DataFrame]) -> DataFra
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def gathered(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """``cut`` whose shuffle files go at once, read again by as many tasks as its bytes ask for, at least one a core; else a small result costs every later step a task for each of its partitions."""
+    out = cut_and_clean(df.sparkSession, lambda: df.select("*"))
+    sc, rdd = df.sparkSession.sparkContext, out._jdf.queryExecution().analyzed().rdd()
+    path = sc._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    tasks = max(sc.defaultParallelism, -(-size // task_bytes))
+    return out.coalesce(tasks) if tasks < rdd.getNumPartitions() else out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

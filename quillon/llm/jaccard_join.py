@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binaries, cut, table, tidy, words_of
+from .common import arrow_map, binaries, cut, gathered, table, tidy, words_of
 from .components import components
 from ..runtime import ship
 
@@ -379,7 +379,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) ->
         return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64()), pa.array(list(out.values()), pa.binary())], ["set", "n", "members"])
 
     sets = arrow_map(docs, step, "set bigint, n bigint, members binary").join(wanted, ["set", "n"], "left_semi")
-    return cut(sets.groupBy("set", "n").agg(F.first("members").alias("members")))
+    return gathered(sets.groupBy("set", "n").agg(F.first("members").alias("members")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshold, width: int) -> DataFrame:
@@ -396,7 +396,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t: Threshol
 
 def _crowds(members: DataFrame, links: DataFrame, classes: DataFrame, label: DataFrame, rows: int, shingles: int) -> DataFrame:
     """(set, n, label, blocks) of the classes of long lists in components where not every pair of them is a known link."""
-    listed = cut(members.select("set", "n").distinct().join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node")).select("set", "n", "label"))
+    listed = gathered(members.select("set", "n").distinct().join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node")).select("set", "n", "label"))
     one = links.join(listed.select(F.col("set").alias("a"), F.col("n").alias("na"), "label"), ["a", "na"])
     known = one.join(listed.select(F.col("set").alias("b"), F.col("n").alias("nb")), ["b", "nb"]).groupBy("label").agg(F.count("*").alias("known"))
     crowds = listed.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).join(known, "label", "left").where("rows * (rows - 1) / 2 > coalesce(known, 0)")
@@ -472,27 +472,27 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, small:
     members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("hash").alias("set"), "n")
     order = Order(_common(survey, common, most_common))
     postings = _postings(docs, order, t, width).repartition("key").sortWithinPartitions("key", "spot", "set")
-    found = cut(_meet(postings, t, small))
+    found = gathered(_meet(postings, t, small))
     members_of = found.where(F.col("kind") == MEMBER).select("shingle", F.col("a").alias("set"), F.col("na").alias("n"), F.col("b").alias("p"))
     between = _centred(members_of, t)
-    tried = cut(found.where(F.col("kind") == PAIR).select("a", "na", "b", "nb").unionByName(between).distinct())
-    classes = cut(members.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep")))
-    links = cut(_verified(docs, cut(_likely(survey, tried, t)), classes, t, width))
+    tried = gathered(found.where(F.col("kind") == PAIR).select("a", "na", "b", "nb").unionByName(between).distinct())
+    classes = gathered(members.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep")))
+    links = gathered(_verified(docs, gathered(_likely(survey, tried, t)), classes, t, width))
     label = _labels(links, classes)
     if not members_of.isEmpty():
         known = members_of.join(classes, ["set", "n"]).join(label, F.col("rep") == F.col("node"), "left").select("shingle", "set", "n", "p", F.coalesce("label", "rep", F.xxhash64("set", "n")).alias("label"))
-        more = cut(_across(known, t).select("a", "na", "b", "nb").distinct().join(tried, ["a", "na", "b", "nb"], "left_anti"))
+        more = gathered(_across(known, t).select("a", "na", "b", "nb").distinct().join(tried, ["a", "na", "b", "nb"], "left_anti"))
         if not more.isEmpty():
-            more = cut(_likely(survey, more, t))
+            more = gathered(_likely(survey, more, t))
         if not more.isEmpty():
-            links = cut(links.unionByName(_verified(docs, more, classes, t, width)))
+            links = gathered(links.unionByName(_verified(docs, more, classes, t, width)))
             label = _labels(links, classes)
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("label", "rep").alias("component"))
     out = members.select("doc_id", "set", "n", F.col("n").alias("n_shingles"))
     component = F.coalesce("component", "doc_id").alias("component_id")
     if not count:
         return out.join(named, ["set", "n"], "left").select("doc_id", "n_shingles", component)
-    crowds = cut(_crowds(members_of, links, classes, label, *tile))
+    crowds = gathered(_crowds(members_of, links, classes, label, *tile))
     inside = [crowds.select(F.col("set").alias(a), F.col("n").alias(n), F.lit(True).alias(f"in_{a}")) for a, n in (("a", "na"), ("b", "nb"))]
     outside = links.join(inside[0], ["a", "na"], "left").join(inside[1], ["b", "nb"], "left").where("in_a IS NULL OR in_b IS NULL")  # the others are counted in their tiles
     ends = outside.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("na").alias("n")), F.struct(F.col("b").alias("set"), F.col("nb").alias("n")))).alias("e")).select("e.set", "e.n", F.lit(1).cast("bigint").alias("links"))

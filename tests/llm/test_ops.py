@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -508,3 +509,57 @@ def test_pipeline_stages(spark, odd, empty, sf):
     assert kept == {i for i, (_, label) in brute_components(documents(spark, sf)).items() if i == label}
     gone = {r.doc_id for r in rows(spark, 7, sf)}
     assert {r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, docs, sf).collect()} == {i for i, _ in documents(spark, sf)} - gone
+
+
+@pytest.fixture()
+def many_parts(spark):
+    """Shuffles of 64 partitions, none of them merged; says how many tasks a step ran."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+
+    def tasks(step):
+        group, tracker = f"counted-{uuid.uuid4().hex}", spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(group, group)
+        out = step()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield tasks
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_few_links_take_few_tasks(spark, many_parts):
+    """Rounds of components over hardly any links are not as many tasks as partitions; with ``alone=0`` rounds do it all, with the same result."""
+    draw = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 3000, (2000, 2))] + [(5000 + k, 5001 + k) for k in range(50)]
+    want = dict(zip(*map(np.ndarray.tolist, components.forest(*np.array(pairs).T)), strict=True))
+    want |= {v: v for v in want.values()}
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(64, "u")
+    got, tasks = many_parts(lambda: components.components(links).collect())
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert tasks < 300
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = components.components(links.coalesce(4), alone=0).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+
+
+def test_small_results_are_read_by_few_tasks(spark, many_parts):
+    grouped = spark.range(5000).groupBy((F.col("id") * 7 % 5003).alias("id")).count()
+    got, tasks = many_parts(lambda: common.gathered(grouped).groupBy((F.col("id") % 3).alias("k")).count().collect())
+    assert dict(map(tuple, got)) == collections.Counter(k * 7 % 5003 % 3 for k in range(5000))
+    assert tasks < 64 + 64 + 64
+    assert common.gathered(grouped, task_bytes=1).rdd.getNumPartitions() == 64
+
+
+def test_jaccard_on_many_partitions(spark, many_parts):
+    docs = [(k, " ".join([f"w{j}" for j in range(60)] + [f"n{k}" * (k % 5 > 0)])) for k in range(60)] + [(100 + k, f"some other words said {k} times") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_components(docs)
+    got, tasks = many_parts(lambda: jaccard_join.join(df).collect())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert tasks < 5500
