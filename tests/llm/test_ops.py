@@ -563,3 +563,12 @@ def test_jaccard_on_many_partitions(spark, many_parts):
     got, tasks = many_parts(lambda: jaccard_join.join(df).collect())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert tasks < 5500
+
+
+def test_jaccard_stage_on_many_partitions(spark, many_parts):
+    """The pipeline's stage keeps the first of each component, and its driver sees few tasks."""
+    docs = [(k, " ".join([f"w{j}" for j in range(60)] + [f"n{k}"])) for k in range(60)] + [(100 + k, f"some other words said {k} times") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got, tasks = many_parts(lambda: jaccard_join.stage(spark, df, "").collect())
+    assert sorted(r.doc_id for r in got) == [0, *range(100, 160)]
+    assert tasks < 3000
